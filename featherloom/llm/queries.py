@@ -5,13 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, simhash
+from . import decontaminate, exact_dedup, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["word_to"] - s["word_from"])
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_words",
+        hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.size("spans") > 0).alias("contaminated"),
+    )
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = simhash.near_duplicate_classes(docs)
@@ -38,6 +51,7 @@ FROM r JOIN g USING (body)
 
 def queries() -> dict:
     return {
+        "op4_fm_decontamination": op4_fm_decontamination,
         "op5_simhash_near_dedup": op5_simhash_near_dedup,
         "op7_exact_dedup": op7_exact_dedup,
     }
