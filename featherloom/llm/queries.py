@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, simhash
+from . import bpe, decontaminate, exact_dedup, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,22 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept", digest)
 
 
+def op8_bpe_round_trip(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    """``vocabulary``: path of the tokenizer file; by default the public byte-level one of 50k tokens."""
+    if vocabulary is None:
+        import public_tokenizers
+
+        vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    known = bpe.read_vocabulary(vocabulary)
+    ids = bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), known).drop("text")
+    return bpe.decode(ids, known).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 OP7_SQL = """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
 g AS (SELECT body, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY body),
@@ -54,6 +70,7 @@ def queries() -> dict:
         "op4_fm_decontamination": op4_fm_decontamination,
         "op5_simhash_near_dedup": op5_simhash_near_dedup,
         "op7_exact_dedup": op7_exact_dedup,
+        "op8_bpe_round_trip": op8_bpe_round_trip,
     }
 
 
