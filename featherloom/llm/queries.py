@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, simhash
+from . import bpe, decontaminate, exact_dedup, quality, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,18 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), digits.alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op6_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    trees = quality.fit(docs, _table(spark, sf_dir, "labels"))
+    scored = quality.score(docs, trees, F.col("doc_id"))
+    return scored.select(
+        F.col("row").alias("doc_id"),
+        quality.held_out(F.col("row")).alias("held_out"),
+        "score",
+        (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     digest = F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256")
@@ -69,6 +81,7 @@ def queries() -> dict:
     return {
         "op4_fm_decontamination": op4_fm_decontamination,
         "op5_simhash_near_dedup": op5_simhash_near_dedup,
+        "op6_quality_trees": op6_quality_trees,
         "op7_exact_dedup": op7_exact_dedup,
         "op8_bpe_round_trip": op8_bpe_round_trip,
     }
