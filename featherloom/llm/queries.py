@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, quality, simhash
+from . import bpe, decontaminate, exact_dedup, html_text, quality, sharding, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,24 @@ def op8_bpe_round_trip(spark: SparkSession, sf_dir: str, vocabulary: str | None
     )
 
 
+def op9_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.assign_shards(_table(spark, sf_dir, "documents"))
+    return placed.select(
+        F.col("id").alias("doc_id"),
+        "size",
+        "text_crc32",
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op10_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = html_text.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return done.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 OP7_SQL = """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
 g AS (SELECT body, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY body),
@@ -84,6 +102,8 @@ def queries() -> dict:
         "op6_quality_trees": op6_quality_trees,
         "op7_exact_dedup": op7_exact_dedup,
         "op8_bpe_round_trip": op8_bpe_round_trip,
+        "op9_balanced_shards": op9_balanced_shards,
+        "op10_html_main_text": op10_html_main_text,
     }
 
 
