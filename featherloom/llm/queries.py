@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, exact_dedup, html_text, quality, sharding, simhash
+from . import bpe, chat, decontaminate, exact_dedup, html_text, paragraphs, quality, sharding, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,13 @@ def op1_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_windows(turns.union(extra)))
 
 
+def op3_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = paragraphs.paragraph_classes(_table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"), F.col("place").alias("paragraph"), F.col("words").alias("n_words"), F.col("class").alias("class_id"), "copies", "kept"
+    )
+
+
 def op4_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["word_to"] - s["word_from"])
@@ -105,6 +112,7 @@ FROM r JOIN g USING (body)
 def queries() -> dict:
     return {
         "op1_chat_windows": op1_chat_windows,
+        "op3_paragraph_minhash": op3_paragraph_minhash,
         "op4_fm_decontamination": op4_fm_decontamination,
         "op5_simhash_near_dedup": op5_simhash_near_dedup,
         "op6_quality_trees": op6_quality_trees,
