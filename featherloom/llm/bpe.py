@@ -71,6 +71,13 @@ def read_vocabulary(path: str) -> dict:
     }
 
 
+def public_vocabulary() -> str:
+    """The path of the public byte-level vocabulary of 50k tokens."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 class ForcedBoundaryBPE:
     """Encodes and decodes whole texts; see the module's description."""
 

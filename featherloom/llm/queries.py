@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, exact_dedup, html_text, paragraphs, quality, sharding, simhash
+from . import bpe, chat, decontaminate, exact_dedup, html_text, paragraphs, quality, sharding, simhash, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,37 @@ def op1_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_windows(turns.union(extra)))
 
 
+def op2_warc_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as WARC records, audited against a replica with planted faults.
+
+    The replica lacks pages of id 401 modulo 997 and has one byte changed in those of id 7
+    modulo 211 (the W of the record's first word).
+    """
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    volume = F.floor(F.col("page_id") / warc.VOLUME_IDS).alias("volume")
+    records = pages.select(volume, F.col("page_id").alias("id"), warc.page_record().alias("record"))
+    bad = F.concat(F.lit("V"), F.substr("record", F.lit(2)))
+    replica = records.where("id is null or id % 997 <> 401").withColumn("record", F.when(F.col("id") % 211 == 7, bad).otherwise(F.col("record")))
+    rows = records.count()
+    found = warc.audit(warc.lay_out(records, rows), warc.lay_out(replica, rows)).where("status <> 'moved'")
+    return found.select(F.col("id").alias("page_id"), "status", "length", "digest", "other_digest")
+
+
+OP2_SQL = """
+WITH r AS (
+  SELECT page_id, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10)
+    || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '')
+    || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: '
+    || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '')
+    || chr(13) || chr(10) || chr(13) || chr(10) AS record
+  FROM pages)
+SELECT page_id, CASE WHEN page_id % 997 = 401 THEN 'missing' ELSE 'corrupt' END AS status,
+  strlen(record) AS length, sha256(record) AS digest,
+  CASE WHEN page_id % 997 <> 401 THEN sha256('V' || substr(record, 2)) END AS other_digest
+FROM r WHERE page_id % 997 = 401 OR page_id % 211 = 7
+"""
+
+
 def op3_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = paragraphs.paragraph_classes(_table(spark, sf_dir, "documents"))
     return found.select(
@@ -66,11 +97,7 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_bpe_round_trip(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     """``vocabulary``: path of the tokenizer file; by default the public byte-level one of 50k tokens."""
-    if vocabulary is None:
-        import public_tokenizers
-
-        vocabulary = public_tokenizers.path("byte_bpe_50k.json")
-    known = bpe.read_vocabulary(vocabulary)
+    known = bpe.read_vocabulary(vocabulary or bpe.public_vocabulary())
     ids = bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), known).drop("text")
     return bpe.decode(ids, known).select(
         "doc_id",
@@ -112,6 +139,7 @@ FROM r JOIN g USING (body)
 def queries() -> dict:
     return {
         "op1_chat_windows": op1_chat_windows,
+        "op2_warc_merkle_audit": op2_warc_merkle_audit,
         "op3_paragraph_minhash": op3_paragraph_minhash,
         "op4_fm_decontamination": op4_fm_decontamination,
         "op5_simhash_near_dedup": op5_simhash_near_dedup,
@@ -124,4 +152,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": OP7_SQL}
+    return {"op2_warc_merkle_audit": OP2_SQL, "op7_exact_dedup": OP7_SQL}
