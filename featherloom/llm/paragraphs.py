@@ -7,10 +7,11 @@ paragraphs of Jaccard similarity 0.8 meet in a bucket with probability 0.998. Eq
 paragraphs are counted once, by a 64-bit hash of their words.
 
 In every bucket the other members are verified against its leader by exact Jaccard over
-shingle hashes, which is linear in the bucket; buckets have different leaders, and a
-member that no leader has tied to its bucket's component is then verified against the
-bucket's members in other components. Components of the verified links are the classes;
-of a class, the first paragraph by document and place stays and the others are removed.
+shingle hashes, which is linear in the bucket. A bucket whose members are not all tied
+so, by its own leader or another's, then has all pairs of its components compared, within
+tasks of bounded size that give a forest of links, never the pairs. Components of the
+verified links are the classes; of a class, the first paragraph by document and place
+stays and the others are removed.
 
 Cases. Null and empty texts have no paragraphs. A paragraph shorter than a shingle (with
 a smaller ``least``) is its one shingle. Null ids sort before others and are reported
@@ -21,6 +22,8 @@ length are read whole. Extra columns are not read. Empty tables give empty resul
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,6 +35,8 @@ from .components import connected_components
 WIDTH, SIMILARITY, BANDS, ROWS, LEAST = 5, 0.8, 12, 4, 25
 #: Text bytes handled at once.
 CHUNK = 1 << 20
+#: Members of a bucket's chunk, of which a task compares two; rows compared at once.
+MEETING, BLOCK = 1_000, 256
 #: Wanted paragraphs, and colliding buckets, up to these numbers are broadcast; beyond, they are joined by a shuffle.
 WANTED_MOST, BUCKETS_MOST = 2_000_000, 500_000
 
@@ -168,6 +173,72 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return joined.where(both >= similarity * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
+def _compared(similarity: float):
+    """Over partitions sorted by meeting: forest edges of the similar pairs of each, components apart."""
+
+    def compare(keys: np.ndarray, own: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+        sizes = np.array([len(x) for x in sets])
+        values, codes, many = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        shared = many > 1
+        column = np.cumsum(shared) - 1
+        owner = np.repeat(np.arange(len(sets)), sizes)
+        keep = shared[codes]
+        has = np.zeros((len(sets), max(1, int(shared.sum()))), np.float32)
+        has[owner[keep], column[codes[keep]]] = 1
+        up: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (y := up.get(x, x)) != x:
+                x = y
+            return x
+
+        edges = []
+        for at in range(0, len(sets), BLOCK):
+            both = has[at : at + BLOCK] @ has.T
+            fits = both >= similarity * (sizes[at : at + BLOCK, None] + sizes[None] - both) - 1e-6
+            for i, j in np.argwhere(fits & (own[at : at + BLOCK, None] < own[None])).tolist():
+                x, y = find(int(own[at + i])), find(int(own[j]))
+                if x != y:
+                    up[max(x, y)] = min(x, y)
+                    edges.append((int(keys[at + i]), int(keys[j])))
+        return edges
+
+    def run(batches):
+        held = None
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                new = [batch.column(k).to_numpy() for k in range(3)] + [[x.values.to_numpy() for x in batch.column(3)]]
+                held = new if held is None else [*(np.concatenate(p) for p in zip(held[:3], new[:3], strict=True)), held[3] + new[3]]
+            if held is None or not len(held[0]):
+                continue
+            stop = len(held[0]) if batch is None else int(np.searchsorted(held[0], held[0][-1]))
+            if not stop:
+                continue
+            meet = held[0][:stop]
+            firsts = np.flatnonzero(np.r_[True, meet[1:] != meet[:-1]])
+            edges = [e for a, b in zip(firsts, np.append(firsts[1:], stop), strict=True) for e in compare(held[1][a:b], held[2][a:b], held[3][a:b])]
+            held = [x[stop:] for x in held]
+            if edges:
+                both = np.array(edges, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(both.max(1)), pa.array(both.min(1))], names=["a", "b"])
+
+    return run
+
+
+def _meetings(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): verified links between components of the same bucket, as forests.
+
+    A bucket beyond MEETING members is dealt to chunks, and every two chunks meet in a task
+    of their own: all pairs are compared, no task holds more than two chunks, and no pair
+    is a row.
+    """
+    chunks = F.ceil(F.col("n") / MEETING).cast("int")
+    dealt = members.withColumns({"chunk": F.pmod(F.xxhash64("key"), chunks).cast("int"), "other": F.explode(F.sequence(F.lit(0), chunks - 1))})
+    meet = F.xxhash64("bucket", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("meet")
+    rows = dealt.select(meet, "key", "own").join(sets, "key").select("meet", "key", "own", "shingles")
+    return rows.repartition("meet").sortWithinPartitions("meet").mapInArrow(_compared(similarity), "a long, b long")
+
+
 def _components(edges: DataFrame) -> DataFrame:
     return connected_components(edges).toDF("key", "class")
 
@@ -187,14 +258,11 @@ def paragraph_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     pairs = members.where("key <> leader").select(F.greatest("key", "leader").alias("a"), F.least("key", "leader").alias("b")).distinct()
     edges = cut(_verified(pairs, sets, similarity))
     classes = cut(_components(edges))
-    # members that no leader tied to their bucket's component meet the bucket's other members
+    # buckets of which no leader tied all members: there all pairs count, compared within tasks
     tied = members.join(classes, "key", "left").withColumn("own", F.coalesce("class", "key")).drop("class")
-    head = classes.select(F.col("key").alias("leader"), F.col("class"))
-    tied = cut(tied.join(head, "leader", "left").withColumn("led", F.coalesce("class", "leader")).drop("class"))
-    loose = tied.where("own <> led").select("bucket", F.col("key").alias("loose"), F.col("own").alias("loose_own"))
-    rest = loose.join(tied.where("key <> leader").select("bucket", "key", "own"), "bucket").where("loose_own <> own")
-    rest = rest.select(F.greatest("key", "loose").alias("a"), F.least("key", "loose").alias("b")).distinct()
-    more = cut(_verified(rest, sets, similarity))
+    open_ = cut(tied.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("own").alias("x"), F.max("own").alias("y")).where("x <> y").select("bucket", "n"))
+    near = F.broadcast(open_) if open_.count() <= BUCKETS_MOST else open_
+    more = cut(_meetings(tied.select("bucket", "key", "own").join(near, "bucket"), sets, similarity))
     if not more.isEmpty():
         classes = cut(_components(edges.union(more)))
     named = found.drop("bands").join(classes, "key", "left").withColumn("class", F.coalesce("class", "key"))
