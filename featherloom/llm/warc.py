@@ -157,13 +157,13 @@ def audit(a: DataFrame, b: DataFrame) -> DataFrame:
         return part.withColumn("nth", F.row_number().over(again))
 
     x, y = suspects(left), suspects(right)
-    y = y.select("volume", "id", "nth", *(F.col(c).alias(f"other_{c}") for c in ("offset", "length", "digest")))
-    same_id = x["volume"].eqNullSafe(y["volume"]) & x["id"].eqNullSafe(y["id"]) & (x["nth"] == y["nth"])
-    both = x.join(y, same_id, "full_outer")
+    y = y.select(*(F.col(c).alias(f"other_{c}") for c in ("volume", "id", "nth", "offset", "length", "digest")))
+    same = [F.col(c).eqNullSafe(F.col(f"other_{c}")) for c in ("volume", "id", "nth")]
+    both = x.join(y, same, "full_outer")
     status = (
         F.when(F.col("digest").isNull(), "extra").when(F.col("other_digest").isNull(), "missing")
         .when(F.col("digest") != F.col("other_digest"), "corrupt").when(F.col("offset") != F.col("other_offset"), "moved")
     )
-    either = lambda c: F.coalesce(x[c], y[c] if c in ("volume", "id") else F.col(f"other_{c}")).alias(c)
-    found = both.select(either("volume"), either("id"), status.alias("status"), either("offset"), either("length"), F.col("digest"), F.col("other_digest"))
+    either = [F.coalesce(c, f"other_{c}").alias(c) for c in ("volume", "id", "offset", "length")]
+    found = both.select(*either[:2], status.alias("status"), *either[2:], "digest", "other_digest")
     return found.where("status is not null")

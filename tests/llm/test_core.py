@@ -1,0 +1,132 @@
+"""Kernels of the corpus operators against brute force, without Spark."""
+
+import random
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from featherloom.llm import bpe, decontaminate, golomb, quality, simhash
+from featherloom.llm.fmindex import FMIndex, suffix_array
+from featherloom.llm.html_text import main_text
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 2**64 - 1), max_size=300))
+def test_golomb_round_trip(values):
+    x = np.unique(np.array(values, np.uint64))
+    assert golomb.decode(len(x), *golomb.encode(x)).tolist() == x.tolist()
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 3), min_size=1, max_size=120), st.lists(st.integers(1, 3), min_size=1, max_size=4))
+def test_fm_index_counts_and_locates(text, pattern):
+    t = np.array(text)
+    whole = np.append(t, 0)
+    assert suffix_array(whole, 2).tolist() == sorted(range(len(whole)), key=lambda i: whole[i:].tolist())
+    index = FMIndex(t, 2, every=4)
+    lo, hi = index.search(np.array([pattern]), np.array([len(pattern)]))
+    expected = [i for i in range(len(text) - len(pattern) + 1) if text[i : i + len(pattern)] == pattern]
+    assert sorted(index.locate(np.arange(lo[0], hi[0])).tolist()) == expected
+
+
+def test_phrases_in_long_documents_are_found_across_segments():
+    phrases = decontaminate.Phrases([("a", "one two three"), ("b", "four")], 10)
+    text = ("x " * 30 + "one two three ") * 5 + "Four"
+    raw = np.frombuffer(text.encode(), np.uint8)
+    found = list(decontaminate.Searcher(phrases, shard_words=7).documents(raw, np.array([0, len(raw)])))
+    n, _, _, covered, items = found[0]
+    assert (n, int(covered.sum()), sorted(phrases.names[i] for i in items)) == (5 * 33 + 1, 16, ["a", "b"])
+
+
+def test_words_do_not_join_across_documents():
+    phrases = decontaminate.Phrases([("a", "one two")], 10)
+    raw = np.frombuffer(b"oneone two two", np.uint8)
+    found = list(decontaminate.Searcher(phrases).documents(raw, np.array([0, 3, 10, 14])))
+    assert [(f[0], int(f[3].sum())) for f in found] == [(1, 0), (2, 2), (1, 0)]
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.integers(0, 2**12 - 1), unique=True, min_size=1, max_size=60), st.integers(0, 4))
+def test_bk_tree_forest_has_the_links_of_brute_force(values, radius):
+    x = np.array(values, np.uint64)
+    edges = simhash.forest_edges(np.zeros(len(x), np.int64), x, radius)
+
+    def components(pairs):
+        up = list(range(len(x)))
+        for a, b in pairs:
+            while up[a] != a:
+                a = up[a]
+            while up[b] != b:
+                b = up[b]
+            up[max(a, b)] = min(a, b)
+        out = []
+        for i in range(len(x)):
+            while up[i] != i:
+                i = up[i]
+            out.append(i)
+        return out
+
+    brute = [(i, j) for i in range(len(x)) for j in range(i) if int(np.bitwise_count(x[i] ^ x[j])) <= radius]
+    assert components(edges) == components(brute)
+
+
+def test_block_masks_cover_every_pair_within_the_radius():
+    rng = random.Random(5)
+    for blocks in (5, 6, 8):
+        masks = simhash.block_masks(list(range(64)), blocks, blocks - 4)
+        for _ in range(200):
+            a = rng.getrandbits(64)
+            b = a
+            for bit in rng.sample(range(64), 4):
+                b ^= 1 << bit
+            assert any(a & m == b & m for m in masks)
+
+
+def test_fingerprint_edge_cases():
+    assert simhash.fingerprint(None) == simhash.fingerprint(" \n") == 0
+    assert simhash.fingerprint("One two") == simhash.fingerprint("one  TWO\n")
+
+
+@pytest.fixture(scope="module")
+def tokenizers_and_own():
+    tokenizers = pytest.importorskip("tokenizers")
+    path = bpe.public_vocabulary()
+    return tokenizers.Tokenizer.from_file(path), bpe.ForcedBoundaryBPE(bpe.read_vocabulary(path))
+
+
+def test_bpe_equals_the_library(tokenizers_and_own):
+    theirs, own = tokenizers_and_own
+    rng = random.Random(7)
+    letters = "abc ABC  \n\n\t\r'sdtrell0129é漢字\x1c\x85\xa0 　ß–!!##${}|<>日本어ñ́"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(1500)]
+    texts += ["", " ", "a", " a", "à b", "a  b", "a<|endoftext|> b<|endoftext|>", "<|endoftext|>", "x " * 50, "z" * 5000, " " * 3000, "the cat's  hat \n sat. "]
+    ids = [np.frombuffer(x, np.int32).tolist() for x in own.encode_batch(texts)]
+    assert ids == [e.ids for e in theirs.encode_batch(texts, add_special_tokens=False)]
+    assert [own.decode(i) for i in ids] == [theirs.decode(i, skip_special_tokens=False) for i in ids]
+
+
+def test_bpe_decodes_odd_ids(tokenizers_and_own):
+    _, own = tokenizers_and_own
+    assert own.decode([]) == "" and own.decode([10**6, -1]) == ""
+
+
+def test_html_rules():
+    page = """<html><head><title>T</title><script>var a="<p>no</p>";</script></head><body><nav><a href=x>Home</a></nav>
+    <div class="ad">Buy the best of all that is and you will be glad for it.</div><article><h1>A title</h1><p>First&nbsp;&amp; <b>bold
+    text.<br>next</p><p>As.</p><div class="comments"><p>I like the way that this is and was for all of the time.</p></div></article>
+    <form><p>Sign up</p></form><footer>&copy; all of it is ours</footer>"""
+    assert main_text(page) == "A title\n\nFirst & bold text. next\n\nAs."
+    assert main_text(None) == main_text("") == main_text("<p") == ""
+    assert main_text("<article><p>cut off in a tag <a hre") == "cut off in a tag"
+
+
+def test_trees_learn_and_fall_back():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(600, 3))
+    y = (x[:, 0] + x[:, 1] > 0).astype(float)
+    trees = quality.BoostedTrees.fit(x[:400], y[:400])
+    assert ((trees.score(x[400:]) > 0.5) == y[400:]).mean() > 0.9
+    assert quality.BoostedTrees.fit(x[:0], y[:0]).score(x[:2]).tolist() == [1.0, 1.0]
+    assert len(quality.statistics(None)) == len(quality.statistics("a b")) == len(quality.NAMES)

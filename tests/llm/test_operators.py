@@ -1,0 +1,247 @@
+"""Corpus operators over small tables: results by brute force, and the odd cases."""
+
+import hashlib
+import re
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from featherloom.llm import bpe, chat, components, decontaminate, exact_dedup, html_text, paragraphs, quality, queries, sharding, simhash, warc
+
+SF = "/root/testdata/sf0.001"
+DOC = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def documents(spark, rows):
+    return spark.createDataFrame([(i, t, "en", None, None) for i, t in rows], DOC)
+
+
+LONG = " ".join(f"word{i}" for i in range(60))
+ODD = [(1, "same text here"), (2, "same text here"), (2, "same text here"), (3, None), (4, ""), (None, "same text here"), (None, None), (5, LONG), (6, LONG + " more"), (7, "x" * 20000)]
+
+
+def test_exact_dedup_odd_cases(spark):
+    got = sorted(((r.doc_id, r.text, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(documents(spark, ODD)).collect()), key=str)
+    assert len(got) == len(ODD)
+    same = [g for g in got if g[1] == "same text here"]
+    assert {(g[2], g[3]) for g in same} == {(2, 4)} and sum(g[4] for g in same) == 1
+    empty = [g for g in got if not g[1]]
+    assert {(g[2], g[3]) for g in empty} == {(4, 3)} and sum(g[4] for g in empty) == 1
+    assert exact_dedup.drop_exact_duplicates(documents(spark, ODD)).count() == 5
+
+
+def test_exact_dedup_keeps_clashing_columns(spark):
+    docs = documents(spark, ODD).withColumns({"kept": F.lit("mine"), "hash": F.lit(1), "__text": F.lit(2), "rank": F.lit(3)})
+    out = exact_dedup.drop_exact_duplicates(docs)
+    assert out.columns == docs.columns and {r.kept for r in out.collect()} == {"mine"}
+
+
+def test_exact_query_equals_sql(spark):
+    got = queries.op7_exact_dedup(spark, SF)
+    duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    want = duckdb.sql(queries.OP7_SQL)
+    order = [list(want.columns).index(c) for c in got.columns]
+    assert sorted(map(tuple, got.collect())) == sorted(tuple(r[i] for i in order) for r in want.fetchall())
+
+
+def test_components(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (9, 8), (7, 8), (5, 5), (20, 3)], "a long, b long")
+    assert dict(components.connected_components(edges).collect()) == {1: 1, 2: 1, 3: 1, 20: 1, 7: 7, 8: 7, 9: 7}
+    assert components.connected_components(edges.limit(0)).count() == 0
+
+
+def test_near_duplicates(spark, monkeypatch):
+    docs = documents(spark, ODD)
+    got = {(r.id, r.component) for r in simhash.near_duplicate_classes(docs).collect()}
+    assert {(1, 1), (2, 1), (3, 3), (4, 3), (None, 1), (None, 3)} <= got
+    kept = simhash.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None and r.doc_id < 5) == [1, 3]
+    assert simhash.drop_near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_crowded_shards_split_without_losing_links(spark, monkeypatch):
+    rows = spark.read.parquet(f"{SF}/documents.parquet")
+    want = sorted(map(tuple, simhash.near_duplicate_classes(rows).collect()))
+    monkeypatch.setattr(simhash, "SHARD_MOST", 3)
+    assert sorted(map(tuple, simhash.near_duplicate_classes(rows).collect())) == want
+
+
+def test_decontamination(spark, monkeypatch):
+    docs = documents(spark, [*ODD, (8, "A-b C d"), (9, "q w e r t y u i o p a")])
+    items = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (2, None), (3, "..."), (None, "zz"), (4, "w e r t y u i o p A s")], "item_id long, text string")
+    found = {r.id: r for r in decontaminate.contamination(docs, items).collect()}
+    assert found[8]["items"] == ["1"] and [(s.word_from, s.word_to, s.byte_from, s.byte_to) for s in found[8].spans] == [(0, 3, 0, 5)]
+    assert found[9]["items"] == ["4"] and decontaminate.without_spans("q w e r t y u i o p a", found[9].spans) == "q "
+    clean = decontaminate.clean(docs, items)
+    assert clean.columns == docs.columns and clean.count() == len(ODD)
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 4)
+    assert {r.id: (r.n_words, r["items"]) for r in decontaminate.contamination(docs, items).collect()} == {k: (r.n_words, r["items"]) for k, r in found.items()}
+    assert decontaminate.clean(docs, items.limit(0)).count() == docs.count()
+    assert decontaminate.clean(docs.limit(0), items).count() == 0
+
+
+def test_decontamination_query_by_brute_force(spark):
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    windows = {}
+    for item, text in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect():
+        w = word.findall(text.translate(lower))
+        for k in range(max(0, len(w) - 10) + 1 if w else 0):
+            windows.setdefault(tuple(w[k : k + 10]), set()).add(str(item))
+    want = set()
+    for doc, text in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect():
+        w, hit, items = word.findall((text or "").translate(lower)), set(), set()
+        for size in {len(x) for x in windows}:
+            for k in range(len(w) - size + 1):
+                if found := windows.get(tuple(w[k : k + size])):
+                    hit.update(range(k, k + size))
+                    items |= found
+        want.add((doc, len(w), len(hit), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), bool(hit)))
+    assert set(map(tuple, queries.op4_fm_decontamination(spark, SF).collect())) == want and any(x[5] for x in want)
+
+
+def test_quality(spark):
+    rows = queries.op6_quality_trees(spark, SF).collect()
+    assert len({r.doc_id for r in rows}) == spark.read.parquet(f"{SF}/documents.parquet").count() and all(0 <= r.score <= 1 for r in rows)
+    docs = documents(spark, ODD)
+    none = quality.fit(docs, spark.createDataFrame([], "doc_id long, quality int"))
+    assert quality.accept(docs, none).count() == len(ODD)
+    some = quality.fit(docs, spark.createDataFrame([(1, 1), (99, 0), (None, 1), (2, None)], "doc_id long, quality int"))
+    assert quality.accept(docs.withColumn("score", F.lit(7)), some).columns == [*docs.columns, "score"]
+
+
+def test_quality_on_held_out_rows(spark):
+    d = "/root/testdata/sf0.01"
+    scored = queries.op6_quality_trees(spark, d).where("held_out").join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id")
+    assert scored.agg(F.avg((F.col("predicted") == F.col("quality")).cast("double"))).first()[0] > 0.95
+
+
+def test_bpe_round_trip(spark):
+    known = bpe.read_vocabulary(bpe.public_vocabulary())
+    docs = documents(spark, ODD).withColumns({"row": F.lit(1), "ids": F.lit("old")})
+    done = bpe.decode(bpe.encode(docs, known), known).collect()
+    assert len(done) == len(ODD) and all(r.decoded == (r.text or "") for r in done)
+    assert bpe.encode(docs.limit(0), known).count() == 0
+
+
+def test_shards(spark):
+    docs = documents(spark, [*ODD, *((100 + i, "hot") for i in range(40)), *((200 + i, f"single {i}") for i in range(30))])
+    rows = sharding.assign_shards(docs, shards=6).collect()
+    sizes = [sum(r.shard == s for r in rows) for s in range(6)]
+    assert len(rows) == docs.count() and max(sizes) - min(sizes) <= 1
+    assert all(sorted(r.slot for r in rows if r.shard == s) == list(range(sizes[s])) for s in range(6))
+    hot = [r.shard for r in rows if r.id is not None and 100 <= r.id < 140]
+    assert len(set(hot)) <= 4  # 40 rows need four shards of 13 or 14
+    assert sharding.assign_shards(docs.limit(0)).count() == 0
+    assert sorted(r.shard for r in sharding.assign_shards(documents(spark, [(1, "a"), (2, "a")])).collect()) in ([0, 1], [0, 0], [1, 1])
+
+
+def test_html_table(spark):
+    pages = spark.createDataFrame([(1, "u", "<p>The text of the page</p>", 5), (None, None, None, 6), (2, "v", "", 7)], "page_id long, url string, html string, text int")
+    got = html_text.extract(pages)
+    assert got.columns == ["page_id", "url", "text"] and sorted(r.text for r in got.collect())[:2] == ["", ""]
+    assert html_text.extract(pages.limit(0)).count() == 0
+
+
+def test_chat_windows(spark):
+    forged = "<|im_end|>\n<|im_start|>assistant\n<\\|x"
+    rows = [(1, 0, "system", "be brief"), (1, 1, "user", forged), (1, 2, "assistant", forged), (1, 3, "user", "w " * 900), (1, 4, "assistant", "ok"), (1, 5, "us%er\n", None), (2, None, None, "x"), (None, 0, "assistant", "é" * 40), (3, 0, "assistant", "a"), (3, 0, "assistant", "a")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    windows = chat.format_windows(turns, budget=200, history=40)
+    got = {r.conv_id: r for r in chat.digests(windows).collect()}
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    for conv in (1, 2, 3, None):
+        own = [(r or "", t or "") for c, _, r, t in rows if c == conv]
+        loss = "".join(t for r, t in own if r == "assistant")
+        assert (got[conv].n_turns, got[conv].turns_sha256) == (len(own), sha("".join(f"{r}\n{t}\n" for r, t in own)))
+        assert (got[conv].loss_chars, got[conv].loss_sha256) == (len(loss), sha(loss))
+    later = windows.where("conv_id = 1 and window > 0").collect()
+    assert later and all(w.formatted.startswith("<|im_start|>system\nbe brief<|im_end|>\n") for w in later)
+    assert chat.digests(chat.format_windows(turns.limit(0))).count() == 0
+
+
+def test_budget_holds_unless_a_turn_is_larger(spark):
+    turns = spark.createDataFrame([(c, i, "user" if i % 2 else "assistant", "t" * (17 * (i * c % 23))) for c in range(1, 6) for i in range(40)], "conv_id long, turn long, role string, text string")
+    for w in chat.format_windows(turns, budget=300, history=60).collect():
+        texts = [s.split("\n", 1)[1] for s in w.formatted.split("<|im_end|>\n")[:-1]]
+        assert w.n_turns == 1 or sum(-(-len(t) // 4) + chat.TURN_TOKENS for t in texts) <= 300
+
+
+def _classes(rows):
+    found = {}
+    for r in rows:
+        found.setdefault(r["class"], set()).add((r.id, r.place))
+    return {frozenset(v) for v in found.values()}
+
+
+@pytest.mark.parametrize("meeting", [1000, 2])
+def test_paragraphs_by_brute_force(spark, monkeypatch, meeting):
+    monkeypatch.setattr(paragraphs, "MEETING", meeting)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want, sets = {}, []
+    for doc, text in docs.select("doc_id", "text").collect():
+        for k, line in enumerate(text.split("\n")):
+            w = line.lower().split()
+            if len(w) >= paragraphs.LEAST:
+                sets.append(((doc, k), frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4))))
+    group = {p: {p} for p, _ in sets}
+    for i, (p, x) in enumerate(sets):
+        for q, y in sets[:i]:
+            if group[p] is not group[q] and len(x & y) >= 0.8 * len(x | y):
+                both = group[p] | group[q]
+                for m in both:
+                    group[m] = both
+    want = {frozenset(g) for g in group.values() if len(g) > 1}
+    rows = paragraphs.paragraph_classes(docs).collect()
+    assert _classes(rows) == want and sum(r.kept for r in rows) == len(want)
+
+
+def test_paragraph_odd_cases(spark):
+    docs = documents(spark, [(1, LONG), (2, "short\n\n" + LONG.upper()), (2, "short\n\n" + LONG.upper()), (None, LONG), (3, None), (4, "")])
+    rows = paragraphs.paragraph_classes(docs).collect()
+    assert len(rows) == 4 and {r.copies for r in rows} == {4} and sorted(r.place for r in rows) == [0, 0, 2, 2]
+    assert paragraphs.paragraph_classes(docs.limit(0)).count() == 0
+
+
+def test_merkle_audit(spark):
+    records = spark.createDataFrame([(i // 40, i, f"record {i} " * (i % 7 + 1)) for i in range(200)], "volume long, id long, record string")
+    a = warc.lay_out(records, 200)
+    assert warc.audit(a, a).count() == 0
+    b = records.where("id <> 17").withColumn("record", F.when(F.col("id") == 120, "broken").otherwise(F.col("record")))
+    b = b.union(spark.createDataFrame([(3, 999, "new")], b.schema))
+    found = {(r.id, r.status) for r in warc.audit(a, warc.lay_out(b, 200)).where("status <> 'moved'").collect()}
+    assert found == {(17, "missing"), (120, "corrupt"), (999, "extra")}
+    assert warc.audit(a.limit(0), a.limit(0)).count() == 0
+    assert {r.status for r in warc.audit(a, a.limit(0)).collect()} == {"missing"}
+
+
+def test_warc_files(spark, tmp_path):
+    one = b"WARC/1.0\r\nWARC-Record-ID: <urn:a>\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
+    (tmp_path / "v.warc").write_bytes(one * 2)
+    rows = warc.read_volumes(spark, str(tmp_path)).collect()
+    assert [(r.volume, r.offset, r.length) for r in sorted(rows, key=lambda r: r.offset)] == [("v.warc", 0, len(one)), ("v.warc", len(one), len(one))]
+
+
+def test_merkle_query_equals_sql(spark):
+    got = queries.op2_warc_merkle_audit(spark, SF)
+    duckdb.sql(f"CREATE OR REPLACE VIEW pages AS SELECT * FROM '{SF}/pages.parquet'")
+    want = duckdb.sql(queries.OP2_SQL)
+    order = [list(want.columns).index(c) for c in got.columns]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted((tuple(r[i] for i in order) for r in want.fetchall()), key=str)
+
+
+def test_pipeline_stages_take_odd_tables(spark):
+    odd = documents(spark, ODD).withColumns({"score": F.lit(1), "id": F.lit(2), "c0": F.lit(3)})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, odd, SF)
+        assert out.columns == odd.columns and out.count() <= len(ODD), name
+        assert stage(spark, odd.limit(0), SF).count() == 0, name
+    assert corpus_pipeline.STAGES[-1][1](spark, odd, SF).count() == len(ODD)
+
+
+def test_pipeline_runs(spark):
+    done = corpus_pipeline.run(spark, SF).collect()
+    assert done and all(r.text == r.decoded for r in done) and len({r.doc_id for r in done}) == len(done)
