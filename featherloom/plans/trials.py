@@ -86,22 +86,22 @@ def without_gaps(log: DataFrame, by: str = "experiment", longest: float = 0.0) -
 
 
 def concurrency(log: DataFrame) -> DataFrame:
-    """(at, n_running) at each time at which a run starts or ends; ends count before starts.
+    """(moment, n_running) at each time at which a run starts or ends; ends count before starts.
 
     Changes are summed per moment first; the running sum is over moments.
     """
-    change = log.select(F.inline(F.array(F.struct(F.col("started").alias("at"), F.lit(1).alias("d")), F.struct(F.col("finished").alias("at"), F.lit(-1).alias("d")))))
-    moments = change.groupBy("at").agg(F.sum("d").alias("d"))
-    low, high = moments.agg(F.min("at"), F.max("at")).first()
+    change = log.select(F.inline(F.array(F.struct(F.col("started").alias("moment"), F.lit(1).alias("d")), F.struct(F.col("finished").alias("moment"), F.lit(-1).alias("d")))))
+    moments = change.groupBy("moment").agg(F.sum("d").alias("d"))
+    low, high = moments.agg(F.min("moment"), F.max("moment")).first()
     if low is None:
-        return moments.select("at", F.col("d").alias("n_running"))
-    part = F.least(F.floor((F.col("at") - low) / F.lit(float(high - low) or 1.0) * 256), F.lit(255))
+        return moments.select("moment", F.col("d").alias("n_running"))
+    part = F.least(F.floor((F.col("moment") - low) / F.lit(float(high - low) or 1.0) * 256), F.lit(255))
     placed = moments.withColumn("__p", part)
     sums = placed.groupBy("__p").agg(F.sum("d").alias("__s"))
     ahead = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # 256 rows at most
     sums = sums.select("__p", F.coalesce(F.sum("__s").over(ahead), F.lit(0)).alias("__s"))
-    inside = F.sum("d").over(Window.partitionBy("__p").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
-    return placed.withColumn("__n", inside).join(F.broadcast(sums), "__p").select("at", (F.col("__n") + F.col("__s")).alias("n_running"))
+    inside = F.sum("d").over(Window.partitionBy("__p").orderBy("moment").rowsBetween(Window.unboundedPreceding, 0))
+    return placed.withColumn("__n", inside).join(F.broadcast(sums), "__p").select("moment", (F.col("__n") + F.col("__s")).alias("n_running"))
 
 
 def time_range(log: DataFrame, by: str = "experiment") -> DataFrame:
