@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from itertools import combinations_with_replacement
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions.scalar import BINARY, UNARY
@@ -167,19 +168,39 @@ class Nystroem(Operator):
         return Fitted(made, names, {"landmarks": marks}, "num")
 
 
+#: Partial sums of products are added up in so many lanes before they come to the driver.
+LANES = 16
+
+
 def covariance(df, names: list[str]) -> tuple[np.ndarray, np.ndarray, int]:
-    """Means, population covariance and rows, from one aggregate of products."""
-    asks = [F.count(F.lit(1))] + [F.avg(_x(c)) for c in names]
-    row = list(df.agg(*asks).first())
-    mean = np.array([m or 0.0 for m in row[1:]])
-    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
-    out = np.zeros((len(names), len(names)))
-    for at in range(0, len(pairs), 400):
-        part = pairs[at : at + 400]
-        found = df.agg(*(F.avg((_x(names[i]) - float(mean[i])) * (_x(names[j]) - float(mean[j]))).alias(f"{i}_{j}") for i, j in part)).first()
-        for (i, j), v in zip(part, found, strict=True):
-            out[i, j] = out[j, i] = v or 0.0
-    return mean, out, row[0]
+    """Means, population covariance and number of the complete rows.
+
+    Means come from one aggregate; each partition then adds up its centred products as a
+    matrix, partitions are added up in lanes, and ``LANES`` matrices come to the driver.
+    """
+    from .balance import packed
+
+    rows = packed(df, names)
+    one = rows.agg(F.count(F.lit(1)), *(F.avg(F.col("__x")[i]) for i in range(len(names)))).first()
+    n, mean, width = one[0], np.array([m or 0.0 for m in one[1:]]), len(names)
+    if not n:
+        return mean, np.zeros((width, width)), 0
+
+    def partial(batches):
+        total, lane = np.zeros((width, width)), 0
+        for b in batches:
+            if len(b):
+                x = np.stack(b["__x"].to_numpy()) - mean
+                total, lane = total + x.T @ x, int(b["__lane"].iloc[0])
+        yield pd.DataFrame({"lane": [lane], "products": [total.ravel()]})
+
+    def added(group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"lane": group["lane"].iloc[:1], "products": [np.sum(np.stack(group["products"].to_numpy()), axis=0)]})
+
+    kind = "lane long, products array<double>"
+    parts = rows.withColumn("__lane", F.spark_partition_id() % LANES).mapInPandas(partial, kind)
+    found = parts.groupBy("lane").applyInPandas(added, kind).select("products").collect()
+    return mean, sum(np.array(r[0]) for r in found).reshape(width, width) / n, n
 
 
 def _signed(vectors: np.ndarray) -> np.ndarray:
