@@ -29,21 +29,24 @@ import os
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: The largest vocabulary file that is broadcast.
 VOCAB_BYTES = 64 << 20
 #: Entries that a cache takes (words that come often come early), and the longest key that is kept.
-CACHE_WORDS, CACHE_LETTERS = 600_000, 64
+CACHE_WORDS, CACHE_LETTERS = 250_000, 64
 #: Parts up to this length are merged together, longer ones one by one by a heap; rows merged at once.
 SHORT, ROWS = 40, 20_000
 NONE = (1 << 31) - 1
 #: Ids decoded at once.
 STEP = 1 << 18
 #: Text bytes of an output batch.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 # The split of byte-level BPE into words, with Unicode white space spelt out.
 SPACE = r"\t-\r \x85\xa0  -     　"
@@ -298,22 +301,21 @@ class ForcedBoundaryBPE:
         return self.decode_bytes(ids).decode("utf-8", "replace")
 
 
-def _batches(batches, size):
-    """Batches cut to at most BATCH_BYTES, as ``size`` gives them for column 1, a row at least."""
+def _parts(batches, field: int, size):
+    """(rows, their values of a field) cut to at most BATCH_BYTES, as ``size`` gives them, a row at least."""
     for batch in batches:
-        sizes = np.cumsum(size(batch.column(1)))
+        values = batch.column(0).field(field)
+        sizes = np.cumsum(size(values))
         at = 0
         while at < len(sizes):
             base = sizes[at - 1] if at else 0
             to = max(at + 1, int(np.searchsorted(sizes, base + BATCH_BYTES)))
-            yield batch.slice(at, to - at)
+            yield batch.column(0).slice(at, to - at), values.slice(at, to - at)
             at = to
 
 
 def _lengths(column: pa.Array) -> np.ndarray:
-    import pyarrow.compute as pc
-
-    of = pc.binary_length(column) if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else pc.list_value_length(column)
+    of = pc.list_value_length(column) if pa.types.is_list(column.type) else pc.binary_length(column)
     return of.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
@@ -324,36 +326,37 @@ def _model(vocabulary: dict) -> ForcedBoundaryBPE:
     return vocabulary["model"]
 
 
-def _encode(sent):
+def _encode(sent, field):
     def run(batches):
         model = _model(sent.value)
-        for part in _batches(batches, _lengths):
-            ids = model.encode_batch([x or "" for x in part.column(1).to_pylist()])
+        for rows, texts in _parts(batches, field, _lengths):
+            ids = model.encode_batch([x or "" for x in texts.to_pylist()])
             ends = (np.cumsum([0, *map(len, ids)]) // 4).astype(np.int32)
             flat = np.frombuffer(b"".join(ids), np.int32)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["row", "ids"])
+            yield pa.RecordBatch.from_arrays([rows, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["row", "ids"])
 
     return run
 
 
-def _decode(sent):
+def _decode(sent, field):
     def run(batches):
         model = _model(sent.value)
-        for part in _batches(batches, _lengths):
-            text = [model.decode(x.values.to_numpy() if x.is_valid else ()) for x in part.column(1)]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(text, pa.string())], names=["row", "decoded"])
+        for rows, ids in _parts(batches, field, _lengths):
+            text = [model.decode(x.values.to_numpy() if x.is_valid else ()) for x in ids]
+            yield pa.RecordBatch.from_arrays([rows, pa.array(text, pa.string())], names=["row", "decoded"])
 
     return run
 
 
 def _apply(df: DataFrame, function, source: str, made: str, kind: str, vocabulary: dict) -> DataFrame:
     """``df`` with the column that ``function`` makes of ``source``; all columns travel with their row."""
+    small_batches(df.sparkSession)
     sent = df.sparkSession.sparkContext.broadcast(vocabulary)
     names = {c: f"c{k}" for k, c in enumerate(df.columns) if c != made}
     moved = df.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()))
-    packed = moved.select(F.struct(*names.values()).alias("row"), F.col(names[source]).alias("x"))
-    row = packed.schema["row"].dataType.simpleString()
-    done = packed.mapInArrow(function(sent), f"row {row}, {made} {kind}")
+    packed = moved.select(F.struct(*names.values()).alias("row"))
+    row, field = packed.schema["row"].dataType.simpleString(), list(names).index(source)
+    done = packed.mapInArrow(function(sent, field), f"row {row}, {made} {kind}")
     return done.select(*(F.col(f"row.{n}").alias(c) for c, n in names.items()), made)
 
 

@@ -34,6 +34,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows of an Arrow batch where the session has not chosen its own number: texts are long.
+ARROW_ROWS = 1_000
+ARROW_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches of texts small, on both sides of the socket, unless the session sets their size."""
+    if spark.conf.get(ARROW_SETTING) == "10000":
+        spark.conf.set(ARROW_SETTING, str(ARROW_ROWS))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

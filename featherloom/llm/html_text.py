@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .quality import STOP_WORDS
 
 #: A block of so many words or more is decided by its densities; a shorter one is open.
@@ -222,6 +223,7 @@ def _extract(batches):
 
 def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text") -> DataFrame:
     """The columns of ``pages`` other than the html, and the main text of each page."""
+    small_batches(pages.sparkSession)
     names = {c: f"c{k}" for k, c in enumerate(pages.columns) if c not in (html_col, text_col)}
     source = pages.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()), F.col(f"`{html_col}`").cast("string").alias("html"))
     packed = source.select(F.struct(*names.values(), F.lit(0).alias("pad")).alias("row"), "html")

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: Labelled rows that the trees are fitted on, at most.
 FIT_ROWS = 20_000
 TREES, DEPTH, RATE, BINS, LEAST_LEAF, SHRINK = 60, 4, 0.2, 64, 10, 1.0
@@ -192,6 +194,7 @@ def _measure(batches):
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = FIT_ROWS) -> BoostedTrees:
     """Trees fitted on at most ``rows`` labelled documents that are not held out."""
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     usable = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
     usable = usable.where(F.col("id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("id")))
@@ -217,6 +220,7 @@ def _score(sent):
 
 def score(docs: DataFrame, trees: BoostedTrees, keep: Column, text_col: str = "text") -> DataFrame:
     """(row, score) for each document; ``keep`` is the column that travels as ``row``."""
+    small_batches(docs.sparkSession)
     rows = docs.select(keep.alias("row"), F.col(text_col).cast("string").alias("text"))
     sent = docs.sparkSession.sparkContext.broadcast(trees)
     kind = rows.schema["row"].dataType.simpleString()

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small_batches
 from .components import connected_components
 
 WIDTH, RADIUS, SEED = 4, 4, 42
@@ -81,6 +81,7 @@ def _fingerprints(text: str, name: str, width: int, seed: int):
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, seed: int = SEED) -> DataFrame:
     """(id, fp): the signed 64-bit view of each text's fingerprint."""
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(_fingerprints("text", "fp", width, seed), f"id {kind}, fp long")
