@@ -9,11 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalar import UNARY, clean_text, tokens
-from ..operators import balance, compress, encode, estimators, expand, impute, metrics, scale, select, split, text
+from ..functions.scalar import UNARY, clean_text, sigmoid, tokens
+from ..operators import balance, compress, encode, ensemble, estimators, expand, impute, metrics, scale, select, split, text
 from ..operators.frame import FeatureFrame, stack_roles
-from ..operators.profile import infer_groups, profile, target_task
+from ..operators.profile import infer_groups, one_hot_megabytes, profile, target_task
 from ..session import table
+from ..sources.tables import log_metadata
 from . import trials
 
 FLAGSHIP = "p01_profile"
@@ -660,3 +661,44 @@ def q03_ridge(spark, d):
     rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *PAIRED)
     done = estimators.RidgeFamily("ridge", 1.0).fit(rows, ["l_quantity", "l_discount"], "l_extendedprice").transform(rows)
     return done.select("l_orderkey", "l_linenumber", F.round("prediction", 4).alias("prediction"))
+
+
+# ---- smaller questions --------------------------------------------------------------
+
+
+@query("a08_fold_classes", f"WITH k AS (SELECT o_orderstatus, (({DEALT.format(y='o_orderstatus', key='o_orderkey')} - 1) % 5)::INTEGER AS fold FROM orders) SELECT fold, o_orderstatus AS \"class\", count(*) AS n FROM k GROUP BY 1, 2")
+def a08_fold_classes(spark, d):
+    folds = split.stratified_folds(table(spark, d, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey", "o_orderstatus")
+    return split.fold_classes(folds, "o_orderstatus")
+
+
+@query("a25_one_hot_megabytes", " UNION ALL ".join(f"SELECT '{c}' AS column_name, round(count(*) * count(DISTINCT {c}) * 8 / 1048576.0::DOUBLE, 6) AS megabytes FROM part" for c in ("p_brand", "p_type")))
+def a25_one_hot_megabytes(spark, d):
+    return one_hot_megabytes(table(spark, d, "part"), ["p_brand", "p_type"])
+
+
+@query("s20_log_metadata", f"WITH {LOG} SELECT count(*) AS n_runs, count(DISTINCT config) AS n_configs, min(budget) AS min_budget, max(budget) AS max_budget, count(DISTINCT budget) AS n_budgets FROM log")
+def s20_log_metadata(spark, d):
+    return log_metadata(_log(spark, d)).select("n_runs", "n_configs", "min_budget", "max_budget", F.size("budgets").cast("long").alias("n_budgets"))
+
+
+@query("z01_soft_vote", "SELECT user_id AS rid, round(avg(value), 6) AS p FROM events GROUP BY user_id")
+def z01_soft_vote(spark, d):
+    votes = table(spark, d, "events").select(F.col("user_id").alias("rid"), F.col("event_type").alias("model"), F.col("value").alias("p"))
+    return _rounded(ensemble.soft_vote(votes), ["rid"])
+
+
+@query("z04_aligned_predictions", "WITH s AS (SELECT event_type, count(*) AS n FROM events GROUP BY 1), m AS (SELECT n FROM s GROUP BY n ORDER BY count(*) DESC, n DESC LIMIT 1) SELECT event_type AS model, n FROM s WHERE n = (SELECT n FROM m)")
+def z04_aligned_predictions(spark, d):
+    votes = table(spark, d, "events").select(F.col("event_type").alias("model"), "value")
+    return ensemble.aligned(votes).groupBy("model").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("t02_specific_trials", f"WITH {LOG} SELECT seq, config, loss FROM log WHERE seq IN (1, 5, 8)")
+def t02_specific_trials(spark, d):
+    return trials.specific(_log(spark, d), [1, 5, 8]).select("seq", "config", "loss")
+
+
+@query("f11_sigmoid", "SELECT c_custkey, round(CASE WHEN c_acctbal / 100 > 20 THEN 1.0 WHEN c_acctbal / 100 < -20 THEN 0.0 ELSE 1 / (1 + exp(-c_acctbal / 100)) END::DOUBLE, 6) AS p FROM customer")
+def f11_sigmoid(spark, d):
+    return table(spark, d, "customer").select("c_custkey", F.round(sigmoid(F.col("c_acctbal") / 100), 6).alias("p"))
