@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .base import Fitted, Operator, level_rows
 from .profile import is_number
 
@@ -96,7 +97,7 @@ class IterativeImputer(Operator):
             if gamma >= before:
                 now = old
                 break
-            before = gamma
+            now, before = cut(now), gamma
         return now.drop(*(f"__gap_{c}" for c in open_))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,3 +34,16 @@ def local_session(cpus: int | None = None, name: str = "featherloom") -> SparkSe
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables under ``sf_dir``; any path that Spark can open."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once and cut its lineage: loops grow plans otherwise.
+
+    Checkpoints go to the shared folder that the cluster names in spark.checkpoint.dir; a
+    temporary one is used only where none is named, as in tests on one machine.
+    """
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="featherloom-"))
+    return df.checkpoint()

@@ -213,3 +213,26 @@ def test_store_and_stream(spark, small, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(r.budget, r.config) for r in spark.sql("select * from best").collect()} == {(0.0, "4"), (1.0, "5")}
+
+
+def test_estimators(spark, small):
+    from featherloom.operators import ensemble, estimators
+
+    rows = estimators.assembled(small.withColumn("label_", (F.col("x") > 20).cast("int")), ["x", "z"], "label_")
+    for name in ("decision_tree", "random_forest", "logistic_regression", "linear_svc", "gaussian_nb"):
+        done = estimators.make(name).fit(rows).transform(rows)
+        assert done.where("prediction = label").count() >= 34, name
+        assert estimators.probability(done).where("p between 0 and 1").count() == 40
+    assert estimators.adaboost(rows, 3)(rows).where("prediction = label").count() == 40
+    assert estimators.boosted_leaves(rows, 2, 2)(rows).where("prediction = label").count() >= 38
+    for quadratic in (False, True):
+        done = estimators.Discriminant(quadratic).fit(rows, ["x"], "label_").transform(rows)
+        assert done.where("prediction = label_").count() >= 36
+    exact = small.withColumn("t", 3 * F.col("x") - 2 * F.col("y") + 1)
+    for kind in ("ridge", "bayes", "ard"):
+        done = estimators.RidgeFamily(kind, 1e-6).fit(exact, ["x", "y"], "t").transform(exact)
+        assert done.agg(F.max(F.abs(F.col("prediction") - F.col("t")))).first()[0] < 0.1, kind
+    votes = spark.createDataFrame([(m, i, float(i % 2) * 0.8 + 0.1, i % 2) for m in ("a", "b") for i in range(10)] + [("c", 0, 0.5, 0)], "model string, rid int, p double, y int")
+    assert {r.model for r in ensemble.aligned(votes).select("model").distinct().collect()} == {"a", "b"}
+    model, stacked = ensemble.stack(ensemble.aligned(votes), ["a", "b"])
+    assert model.transform(stacked).count() == 10 and ensemble.soft_vote(votes).count() == 10
