@@ -118,9 +118,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     alone = rows.where(F.col(mark).isNull()).withColumns({"keep_id": F.col(id_col), "group_size": F.lit(1).cast("long"), "kept": F.lit(True)})
     suspects = rows.where(F.col(mark).isNotNull())
     # partial sums per partition come first, so a text with a third of all rows arrives as a few
-    groups = suspects.groupBy(h, text).agg(F.max(id_col).alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    groups = cut(suspects.groupBy(h, text).agg(F.max(id_col).alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
+    # ranks come before the join and groups are read anew: nothing around the join then needs a text's rows
+    # together, and Spark can split a hot text
     same = Window.partitionBy(id_col, h, text).orderBy(F.lit(1))
-    joined = suspects.join(groups, [h, text]).withColumn(rank, F.row_number().over(same))
+    joined = suspects.withColumn(rank, F.row_number().over(same)).join(groups, [h, text])
     joined = joined.withColumn("kept", F.col(id_col).eqNullSafe(F.col("keep_id")) & (F.col(rank) == 1))
     out = [*docs.columns, "keep_id", "group_size", "kept"]
     return alone.select(out).unionByName(joined.select(out))
