@@ -32,7 +32,9 @@ from pyspark.sql import functions as F
 from .common import cut
 from .components import connected_components
 
-WIDTH, SIMILARITY, BANDS, ROWS, LEAST = 5, 0.8, 12, 4, 25
+WIDTH, SIMILARITY, BANDS, ROWS = 5, 0.8, 12, 4
+#: Words of a line by default: a shingle. With 1 every line that has a word counts, as in the query.
+LEAST = WIDTH
 #: Text bytes handled at once.
 CHUNK = 1 << 20
 #: Members of a bucket's chunk, of which a task compares two; rows compared at once.

@@ -51,7 +51,7 @@ FROM r WHERE page_id % 997 = 401 OR page_id % 211 = 7
 
 
 def op3_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = paragraphs.paragraph_classes(_table(spark, sf_dir, "documents"))
+    found = paragraphs.paragraph_classes(_table(spark, sf_dir, "documents"), least=1)
     return found.select(
         F.col("id").alias("doc_id"), F.col("place").alias("paragraph"), F.col("words").alias("n_words"), F.col("class").alias("class_id"), "copies", "kept"
     )

@@ -206,6 +206,13 @@ def test_paragraph_odd_cases(spark):
     assert paragraphs.paragraph_classes(docs.limit(0)).count() == 0
 
 
+def test_short_lines_are_paragraphs(spark, tmp_path):
+    short = "one two three four five six"
+    documents(spark, [(1, short + "\nonly here"), (2, "ok\n" + short), (3, "ok\nother words of this line")]).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = queries.op3_paragraph_minhash(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.paragraph, r.n_words, r.copies, r.kept) for r in rows) == [(1, 0, 6, 2, True), (2, 0, 1, 2, True), (2, 1, 6, 2, False), (3, 0, 1, 2, False)]
+
+
 def test_merkle_audit(spark):
     records = spark.createDataFrame([(i // 40, i, f"record {i} " * (i % 7 + 1)) for i in range(200)], "volume long, id long, record string")
     a = warc.lay_out(records, 200)
