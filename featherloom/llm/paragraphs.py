@@ -13,6 +13,15 @@ tasks of bounded size that give a forest of links, never the pairs. Components o
 verified links are the classes; of a class, the first paragraph by document and place
 stays and the others are removed.
 
+Passages that repeat inside longer lines, across line breaks or in texts without any are
+found beside the lines, by ``passage_classes``: units of ``UNIT`` words are cut from each
+text's words where the hash of the shingle that begins there is the least of ``REACH``
+places in a row. So any 24 equal words in a row hold an equal unit, wherever they stand,
+and passages of over 50 words with a similarity of 0.8 always have 24 such words between
+their edits. Equal units are linked; shorter repeats of 12 words or more may be found too.
+
+Rows have byte spans in the text's UTF-8, ``start`` to ``stop``.
+
 Cases. Null and empty texts have no paragraphs. A paragraph shorter than a shingle (with
 a smaller ``least``) is its one shingle. Null ids sort before others and are reported
 like any id. Repeated rows are repeated paragraphs of one id and place: one row of a
@@ -35,6 +44,8 @@ from .components import connected_components
 WIDTH, SIMILARITY, BANDS, ROWS = 5, 0.8, 12, 4
 #: Words of a line by default: a shingle. With 1 every line that has a word counts, as in the query.
 LEAST = WIDTH
+#: Words of a passage's unit, and places of which the least hash begins one.
+UNIT, REACH = 12, 13
 #: Text bytes handled at once.
 CHUNK = 1 << 20
 #: Members of a bucket's chunk, of which a task compares two; rows compared at once.
@@ -75,6 +86,7 @@ class Paragraphs:
         sums = np.zeros(len(raw) + 1, np.uint64)
         np.cumsum((LOWER[raw].astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=sums[1:])
         words = _mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+        self.starts, self.ends, self.cuts = starts, ends, cuts
         # paragraphs as ranges of words; a text's end ends one too
         breaks = np.union1d(np.flatnonzero(raw == 10), cuts)
         line = np.searchsorted(breaks, starts, side="right")
@@ -84,11 +96,13 @@ class Paragraphs:
         text = np.searchsorted(cuts, starts[first], side="right") - 1 if len(first) else first
         place = line[first] - np.searchsorted(breaks, cuts[text], side="right") if len(first) else first
         keep = last - first >= least
+        self.line, self.breaks = line, breaks
         self.first, self.last, self.text, self.place = first[keep], last[keep], text[keep], place[keep]
         n = len(words)
         up, down = _powers(ODD, n + 1), _powers(pow(ODD, -1, 1 << 64), n + 1)
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(words * up[:n], out=sums[1:])
+        self.sums, self.down = sums, down
         whole = (sums[self.last] - sums[self.first]) * down[self.first]
         self.key = _mix(whole + (self.last - self.first).astype(np.uint64)).view(np.int64)
         # shingles, paragraph after paragraph; a short paragraph is one shingle
@@ -111,6 +125,33 @@ class Paragraphs:
             out[:, b] = key.view(np.int64)
         return out
 
+    def spans(self, first: np.ndarray, last: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Byte spans, within their texts, of ranges of words."""
+        return self.starts[first] - self.cuts[text], self.ends[last - 1] - self.cuts[text]
+
+    def passages(self, unit: int = UNIT, reach: int = REACH, width: int = WIDTH):
+        """(first, last, text, place, key) of the units cut from each text's words, whatever its lines.
+
+        Neighbours of equal words that overlap, as in a word that repeats, are one unit.
+        """
+        n = len(self.starts)
+        if n < unit + reach - 1:
+            none = np.empty(0, np.int64)
+            return none, none, none, none, none
+        at = np.arange(n - unit + 1)
+        begins = _mix((self.sums[at + width] - self.sums[at]) * self.down[at])
+        least = at[: len(at) - reach + 1] + np.lib.stride_tricks.sliding_window_view(begins, reach).argmin(1)
+        owner = np.searchsorted(self.cuts, self.starts, side="right") - 1
+        first = np.unique(least[owner[: len(least)] == owner[unit + reach - 2 :]])
+        whole = (self.sums[first + unit] - self.sums[first]) * self.down[first]
+        key, text = _mix(~whole).view(np.int64), owner[first]
+        again = np.zeros(len(first), bool)
+        again[1:] = (key[1:] == key[:-1]) & (text[1:] == text[:-1]) & (first[1:] < first[:-1] + unit)
+        last = (first + unit)[np.append(~again[1:], True)] if len(first) else first
+        first, text, key = first[~again], text[~again], key[~again]
+        place = self.line[first] - np.searchsorted(self.breaks, self.cuts[text], side="right")
+        return first, last, text, place, key
+
 
 def _chunks(batches):
     """(batch slice, raw bytes, offsets) of at most CHUNK bytes, a row at least."""
@@ -135,7 +176,8 @@ def _signatures(least: int):
             rows = np.flatnonzero(np.diff(offsets) > 0)[found.text]
             keys = found.bands()
             listed = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows)), pa.array(found.place.astype(np.int32)), pa.array((found.last - found.first).astype(np.int32)), pa.array(found.key), listed], names=["id", "place", "words", "key", "bands"])
+            spans = [pa.array(x.astype(np.int32)) for x in found.spans(found.first, found.last, found.text)]
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows)), pa.array(found.place.astype(np.int32)), pa.array((found.last - found.first).astype(np.int32)), *spans, pa.array(found.key), listed], names=["id", "place", "words", "start", "stop", "key", "bands"])
 
     return run
 
@@ -246,13 +288,14 @@ def _components(edges: DataFrame) -> DataFrame:
 
 
 def paragraph_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, similarity: float = SIMILARITY) -> DataFrame:
-    """(id, place, words, class, copies, kept) for each paragraph that has a copy or near copy elsewhere."""
+    """(id, place, words, class, copies, kept, start, stop) for each paragraph that has a copy or near copy elsewhere."""
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    found = cut(rows.mapInArrow(_signatures(least), f"id {kind}, place int, words int, key long, bands array<long>"))
+    found = cut(rows.mapInArrow(_signatures(least), f"id {kind}, place int, words int, start int, stop int, key long, bands array<long>"))
     distinct = found.groupBy("key").agg(F.first("bands").alias("bands"))
     keyed = distinct.select("key", F.explode("bands").alias("bucket"))
-    leaders = cut(keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("key", "bucket"), "key"))["key"].alias("leader")).where("n > 1").drop("n"))
+    # dealt before the leaders are sought: the aggregate's rows are twice as wide, and no fewer
+    leaders = cut(keyed.repartition("bucket").groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("key", "bucket"), "key"))["key"].alias("leader")).where("n > 1").drop("n"))
     near = F.broadcast(leaders) if leaders.count() <= BUCKETS_MOST else leaders
     members = cut(keyed.join(near, "bucket"))
     wanted = cut(members.select("key").distinct())
@@ -270,4 +313,48 @@ def paragraph_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     named = found.drop("bands").join(classes, "key", "left").withColumn("class", F.coalesce("class", "key"))
     copies = named.groupBy("class").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("id", "place")).alias("stays")).where("copies > 1")
     kept = F.struct("id", "place").eqNullSafe(F.col("stays"))
-    return named.join(copies, "class").select("id", "place", "words", "class", "copies", kept.alias("kept"))
+    return named.join(copies, "class").select("id", "place", "words", "class", "copies", kept.alias("kept"), "start", "stop")
+
+
+def _passages(wanted):
+    """Over (id, text): the keys of all units, or the units of the wanted keys."""
+
+    def run(batches):
+        known = None if wanted is None else wanted.value
+        for part, raw, offsets in _chunks(batches):
+            some = np.flatnonzero(np.diff(offsets) > 0)
+            found = Paragraphs(raw, offsets[some], 1)
+            first, last, text, place, key = found.passages()
+            if wanted is None:
+                yield pa.RecordBatch.from_arrays([pa.array(key)], names=["key"])
+                continue
+            if known is not None:
+                # the sorted keys are searched: np.isin would sort them again for each chunk
+                keep = known[np.searchsorted(known, key).clip(max=len(known) - 1)] == key if len(known) else np.zeros(len(key), bool)
+                first, last, text, place, key = (x[keep] for x in (first, last, text, place, key))
+            ints = [pa.array(x.astype(np.int32)) for x in (place, last - first, *found.spans(first, last, text))]
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(some[text])), *ints, pa.array(key)], names=["id", "place", "words", "start", "stop", "class"])
+
+    return run
+
+
+class _All:
+    """Stands for a broadcast: every key is wanted."""
+
+    value = None
+
+
+def passage_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, place, words, class, copies, kept, start, stop) for each unit of words that has a copy, whatever the lines; place is the line it begins in."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    wanted = cut(rows.mapInArrow(_passages(None), "key long").groupBy("key").count().where("count > 1").select("key"))
+    few = wanted.count() <= WANTED_MOST
+    sent = rows.sparkSession.sparkContext.broadcast(np.sort(wanted.toArrow()["key"].to_numpy())) if few else _All
+    found = rows.mapInArrow(_passages(sent), f"id {kind}, place int, words int, start int, stop int, class long")
+    if not few:
+        found = found.join(wanted.select(F.col("key").alias("class")), "class", "left_semi")
+    found = cut(found)
+    copies = found.groupBy("class").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("id", "start")).alias("stays"))
+    kept = F.struct("id", "start").eqNullSafe(F.col("stays"))
+    return found.join(copies, "class").select("id", "place", "words", "class", "copies", kept.alias("kept"), "start", "stop")

@@ -213,6 +213,33 @@ def test_short_lines_are_paragraphs(spark, tmp_path):
     assert sorted((r.doc_id, r.paragraph, r.n_words, r.copies, r.kept) for r in rows) == [(1, 0, 6, 2, True), (2, 0, 1, 2, True), (2, 1, 6, 2, False), (3, 0, 1, 2, False)]
 
 
+def test_passages_inside_lines(spark, tmp_path):
+    words = lambda tag, n: [f"{tag}{i}" for i in range(n)]
+    for seed in range(4):
+        shared = words(f"s{seed}x", 52)
+        edited = shared[:26] + ["edit"] + shared[27:]
+        texts = [
+            " ".join(words("a", 9) + shared + words("b", 9)),
+            "intro line\n" + " ".join(words("c", 150) + shared + words("d", 118)),
+            " ".join(words("e", 40) + shared[:30]) + "\n" + " ".join(shared[30:] + words("f", 40)),
+            "é " + " ".join(words("g", 60) + edited + words("h", 60)),
+            "word " * 500,
+        ]
+        path = f"{tmp_path}/{seed}"
+        documents(spark, list(enumerate(texts))).write.parquet(f"{path}/documents.parquet")
+        rows = [r for r in queries.op3_paragraph_minhash(spark, path).collect() if r.unit == "passage"]
+        groups = {}
+        for r in rows:
+            span = texts[r.doc_id].encode()[r.byte_from : r.byte_to].decode()
+            assert len(span.split()) == r.n_words == 12 and texts[r.doc_id][: texts[r.doc_id].index(span)].count("\n") == r.paragraph
+            groups.setdefault(r.class_id, []).append((r.doc_id, span.split(), r.kept, r.copies))
+        assert {0, 1, 2, 3} == {r.doc_id for r in rows}
+        for g in groups.values():
+            assert len(g) > 1 and {x[3] for x in g} == {len(g)} and all(x[1] == g[0][1] for x in g) and [x[0] for x in g if x[2]] == [min(x[0] for x in g)]
+        linked = {(x[0], y[0]) for g in groups.values() for x in g for y in g}
+        assert {(0, 1), (0, 2), (0, 3), (1, 3), (2, 3)} <= linked
+
+
 def test_merkle_audit(spark):
     records = spark.createDataFrame([(i // 40, i, f"record {i} " * (i % 7 + 1)) for i in range(200)], "volume long, id long, record string")
     a = warc.lay_out(records, 200)
