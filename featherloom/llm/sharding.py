@@ -4,11 +4,13 @@ Documents with equal texts are linked. A document's link is its text's hash, so
 of any size is a hub, never all its pairs. The law is ``rows``: shard sizes, counted in
 documents, are at most one apart, always.
 
-1. Linked documents (groups of two or more) start evenly over the shards.
+1. Linked documents (groups of two or more) start evenly over the shards, group after
+   group by prefix sums: a shard's end cuts one group at most, whether there is room or not.
 2. Rounds of label propagation: each group names its target, the shard with room that
    holds most of its members; members elsewhere ask to move there; a shard accepts asks
    in an order by prefix sums, as far as its room goes. Groups that do not fit move in
-   part. Rooms never go below zero, so shard sizes stay within their capacities.
+   part. Rooms never go below zero, so shard sizes stay within their capacities. Rounds
+   end when no document moves: each move raises the sum of squared cells of its group.
 3. Documents without links have no edge to cut and fill what room is left, exactly.
 
 Ranks and prefix sums are taken in two levels, over hash buckets and within each, so no
@@ -23,6 +25,7 @@ some shards empty; an empty table gives an empty result; extra columns are not r
 from __future__ import annotations
 
 from functools import reduce
+from itertools import accumulate, count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,8 +33,8 @@ from pyspark.sql import functions as F
 from .common import cut, own
 
 SHARDS = 24
-#: Rounds at most; they end before if no document moves.
-ROUNDS = 12
+#: Rounds at most; None: until no document moves.
+ROUNDS = None
 #: Rows that a bucket of a two-level rank has on average.
 BUCKET_ROWS = 20_000
 ROW_BYTES = 8
@@ -63,20 +66,26 @@ def capacities(rows: int, shards: int) -> list[int]:
     return [rows // shards + (s < rows % shards) for s in range(shards)]
 
 
+def _filled(room: list[int]) -> Column:
+    """The shard of the rows of rank nth, when shards are filled one after another."""
+    ends = list(accumulate(room))
+    return reduce(lambda rest, s: F.when(F.col("nth") < ends[s], F.lit(s)).otherwise(rest), reversed(range(len(room) - 1)), F.lit(len(room) - 1)).cast("int")
+
+
 def _loads(state: DataFrame, shards: int) -> list[int]:
     """Rows in each shard; as many numbers as there are shards come to the driver."""
     found = dict(state.groupBy("shard").count().collect())
     return [found.get(s, 0) for s in range(shards)]
 
 
-def propagate(linked: DataFrame, rows: int, shards: int, rounds: int = ROUNDS) -> DataFrame:
+def propagate(linked: DataFrame, rows: int, shards: int, rounds: int | None = ROUNDS) -> DataFrame:
     """Moves the rows of ``linked`` (columns link and shard) towards their link's other rows.
 
     ``rows`` counts all documents, linked or not: it sets the capacities, which the first
     placement must respect.
     """
     room_for, state = capacities(rows, shards), linked
-    for _ in range(rounds):
+    for _ in count() if rounds is None else range(rounds):
         room = [c - n for c, n in zip(room_for, _loads(state, shards), strict=True)]
         cells = state.groupBy("link", "shard").agg(F.count(F.lit(1)).alias("members"))
         has_room = _pick(F.col("shard"), room) > 0
@@ -87,10 +96,10 @@ def propagate(linked: DataFrame, rows: int, shards: int, rounds: int = ROUNDS) -
         stronger = F.col("best.members") >= F.col("members")
         asks = cells.join(targets, "link").where((F.col("shard") != F.col("best.shard")) & stronger)
         asks = asks.select("link", "shard", "members", F.col("best.shard").alias("target"))
-        count = asks.count()
-        if not count:
+        asking = asks.count()
+        if not asking:
             break
-        asks = ranked(asks, ["target"], [F.xxhash64("link"), F.col("link"), F.col("shard")], count, "ahead", F.col("members"))
+        asks = ranked(asks, ["target"], [F.xxhash64("link"), F.col("link"), F.col("shard")], asking, "ahead", F.col("members"))
         quota = F.greatest(F.least(_pick(F.col("target"), room) - F.col("ahead"), F.col("members")), F.lit(0))
         granted = asks.withColumn("quota", quota).where("quota > 0").select("link", "shard", "target", "quota", "members")
         granted = cut(granted)
@@ -108,24 +117,23 @@ def propagate(linked: DataFrame, rows: int, shards: int, rounds: int = ROUNDS) -
     return state
 
 
-def assign_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+def assign_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, rounds: int | None = ROUNDS) -> DataFrame:
     """(id, size, text_crc32, link, shard, slot) for each document; slots count each shard's documents from 0."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     size = F.octet_length(text).cast("long") + ROW_BYTES
     all_rows = cut(docs.select(F.col(id_col).alias("id"), size.alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text, F.octet_length(text)).alias("link")))
     rows = all_rows.count()
-    groups = all_rows.groupBy("link").agg(F.count(F.lit(1)).alias("members"))
-    sized = cut(all_rows.join(groups, "link"))
+    groups = cut(all_rows.groupBy("link").agg(F.count(F.lit(1)).alias("members")))
+    linked_rows = groups.where("members > 1").agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0]
+    lane, = own(groups, "lane")
+    grouped = ranked(groups.where("members > 1").withColumn(lane, F.lit(0)), [lane], [F.xxhash64("link"), F.col("link")], rows, "before", F.col("members")).select("link", "before")
     order = [F.xxhash64("id", "link"), F.col("id"), F.col("link")]
-    linked, single = sized.where("members > 1").drop("members"), sized.where("members = 1").drop("members")
-    start = _over_all(linked, order, rows)
-    start = cut(start.withColumn("shard", (F.col("nth") % shards).cast("int")).drop("nth"))
+    linked, single = all_rows.join(grouped, "link"), all_rows.join(groups.where("members = 1").select("link"), "link")
+    start = ranked(linked, ["link"], [*order, F.col("size")], rows, "nth").withColumn("nth", F.col("nth") + F.col("before"))
+    start = cut(start.withColumn("shard", _filled(capacities(linked_rows, shards))).drop("nth", "before"))
     placed = propagate(start, rows, shards, rounds)
     room = [c - n for c, n in zip(capacities(rows, shards), _loads(placed, shards), strict=True)]
-    ends = [sum(room[: s + 1]) for s in range(shards)]
-    nth = F.col("nth")
-    shard = reduce(lambda rest, s: F.when(nth < ends[s], F.lit(s)).otherwise(rest), reversed(range(shards - 1)), F.lit(shards - 1))
-    filled = _over_all(single, order, rows).withColumn("shard", shard.cast("int")).drop("nth")
+    filled = _over_all(single, order, rows).withColumn("shard", _filled(room)).drop("nth")
     whole = placed.unionByName(filled)
     return ranked(whole, ["shard"], order, rows // shards, "slot").select("id", "size", "text_crc32", "link", "shard", "slot")
 

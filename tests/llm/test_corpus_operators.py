@@ -119,6 +119,23 @@ def test_quality_on_held_out_rows(spark):
     assert scored.agg(F.avg((F.col("predicted") == F.col("quality")).cast("double"))).first()[0] > 0.95
 
 
+def test_shards_keep_groups_where_all_are_linked(spark):
+    sizes = [2] * 60 + [5] * 40 + [30] * 4
+    docs = documents(spark, [(1000 * g + i, f"group {g}") for g, n in enumerate(sizes) for i in range(n)])
+    rows = sharding.assign_shards(docs, shards=6).collect()
+    assert len(rows) == sum(sizes)
+    loads, cells = {}, {}
+    for r in rows:
+        loads[r.shard] = loads.get(r.shard, 0) + 1
+        cells.setdefault(r.link, {}).setdefault(r.shard, []).append(r.id)
+    assert max(loads.values()) - min(loads.values()) <= 1 and len(loads) == 6
+    # a shard's end cuts one group at most
+    assert sum(len(c) - 1 for c in cells.values()) <= 5
+    whole = sum(n * (n - 1) for n in sizes)
+    kept = sum(len(x) * (len(x) - 1) for c in cells.values() for x in c.values())
+    assert kept >= 0.5 * whole
+
+
 def test_bpe_round_trip(spark):
     known = bpe.read_vocabulary(bpe.public_vocabulary())
     docs = documents(spark, ODD).withColumns({"row": F.lit(1), "ids": F.lit("old")})
