@@ -236,3 +236,19 @@ def test_estimators(spark, small):
     assert {r.model for r in ensemble.aligned(votes).select("model").distinct().collect()} == {"a", "b"}
     model, stacked = ensemble.stack(ensemble.aligned(votes), ["a", "b"])
     assert model.transform(stacked).count() == 10 and ensemble.soft_vote(votes).count() == 10
+
+
+def test_neighbours_in_blocks(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, float(i * 7919 % 211), float(i * 104729 % 97), i % 3) for i in range(150)], "k long, x double, z double, y int")
+    made = lambda: [
+        sorted(map(tuple, balance.neighbours(rows, "k", ["x", "z"], "y", 4).collect())),
+        sorted(map(tuple, balance.tomek_links(rows, "k", ["x", "z"], "y").collect())),
+        sorted(map(tuple, balance.near_miss(rows.where("y < 2 or k < 60"), "k", ["x", "z"], "y").collect())),
+    ]
+    whole = made()
+    points = {r.k: (r.x, r.z) for r in rows.collect()}
+    monkeypatch.setattr(balance, "REFERENCE_ROWS", 40)
+    assert made() == whole and len(whole[0]) == 600
+    for k in range(0, 150, 10):
+        far = sorted((points[k][0] - x) ** 2 + (points[k][1] - z) ** 2 for j, (x, z) in points.items() if j != k)[:4]
+        assert [r[5] for r in sorted(whole[0], key=lambda r: r[4]) if r[0] == k] == far
