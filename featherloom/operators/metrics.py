@@ -9,6 +9,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 TINY = 1e-15
 
 
@@ -214,29 +216,71 @@ def spearman(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
     return ranked.groupBy(*keys).agg(F.round(F.corr("__a", "__b"), 6).alias("spearman"))
 
 
+def _agreement(x, y, n) -> int:
+    """Pairs that agree less pairs that differ, of weighted points: a count by halves of the ranks of x."""
+    import numpy as np
+
+    rank, y, n = np.unique(x, return_inverse=True)[1], np.unique(y, return_inverse=True)[1], n.astype(np.int64)
+    total = 0
+    for level in range(int(rank.max(initial=0)).bit_length()):
+        order = np.lexsort((y, rank >> (level + 1)))
+        group, own, w = (rank >> (level + 1))[order], y[order], n[order]
+        right = (rank[order] >> level & 1).astype(bool)
+        low = np.concatenate([[0], np.cumsum(np.where(right, 0, w))])
+        new_group = np.r_[True, group[1:] != group[:-1]]
+        new_value = new_group | np.r_[True, own[1:] != own[:-1]]
+        begins, ties = np.flatnonzero(new_group), np.flatnonzero(new_value)
+        at_group, at_tie = np.cumsum(new_group) - 1, np.cumsum(new_value) - 1
+        below = low[ties][at_tie] - low[begins][at_group]
+        above = low[np.append(begins[1:], len(w))][at_group] - low[np.append(ties[1:], len(w))][at_tie]
+        # Python's numbers: a sum over many rows may pass 64 bits
+        total += sum(int(v) for v in np.add.reduceat(np.where(right, w * (below - above), 0), begins)) if len(begins) else 0
+    return total
+
+
+#: Distinct pairs of values that a range holds on average, and ranges at most.
+RANGE_PAIRS, RANGES = 50_000, 512
+
+
 def kendall(df: DataFrame, a: str, b: str, bins: int = 512) -> DataFrame:
-    """(kendall): tau-b from the counts of distinct pairs of values, each column in up to ``bins`` bins.
+    """(kendall): tau-b from exact counts, whatever the number of distinct values (``bins`` is not used any more).
 
-    Columns of more distinct values are binned at equal widths, so the pair table is at
-    most ``bins`` squared, whatever the rows; up to that many values it is exact.
+    Both columns are cut into ranges of values. Pairs apart in both are counted from the
+    rows of each two ranges, a table of at most ``RANGES`` squared; those within a range of
+    a, and those apart in a within a range of b, by a task for each range.
     """
     import numpy as np
+    import pandas as pd
 
     rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"))
-    na, nb, a0, a1, b0, b1 = rows.agg(F.count_distinct("a"), F.count_distinct("b"), F.min("a"), F.max("a"), F.min("b"), F.max("b")).first()
-    bin_ = lambda c, n, lo, hi: F.col(c) if n <= bins else F.floor((F.col(c) - lo) / ((hi - lo) or 1.0) * (bins - 1)).cast("double")
-    cells = rows.groupBy(bin_("a", na, a0, a1).alias("a"), bin_("b", nb, b0, b1).alias("b")).count().toArrow()
-    x, y, n = (cells[c].to_numpy() for c in ("a", "b", "count"))
-    xi, yi = np.unique(x, return_inverse=True)[1], np.unique(y, return_inverse=True)[1]
-    table = np.zeros((xi.max(initial=-1) + 1, yi.max(initial=-1) + 1))
-    np.add.at(table, (xi, yi), n)
+    cells = cut(rows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")))
+    ranges = min(RANGES, cells.count() // RANGE_PAIRS + 1)
+    # the bounds balance the tasks; the counts are exact with any
+    ends = cells.approxQuantile(["a", "b"], [i / ranges for i in range(1, ranges)], 0.2 / ranges) if ranges > 1 else [[], []]
+    ends = [sorted(set(e)) for e in ends]
+
+    def place(c, bounds):
+        return F.size(F.filter(F.array(*(F.lit(v) for v in bounds)), lambda v: v < F.col(c))) if bounds else F.lit(0)
+
+    cells = cells.withColumns({"ra": place("a", ends[0]), "rb": place("b", ends[1])})
+
+    def within(x):
+        def run(part: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"s": [str(_agreement(part[x].to_numpy(), part["b"].to_numpy(), part["n"].to_numpy()))]})
+
+        return run
+
+    parts = cells.groupBy("ra").applyInPandas(within("a"), "s string").union(cells.groupBy("rb").applyInPandas(within("ra"), "s string"))
+    less = sum(int(r.s) for r in parts.collect())
+    table = np.zeros((len(ends[0]) + 1, len(ends[1]) + 1))
+    for r in cells.groupBy("ra", "rb").agg(F.sum("n").alias("n")).collect():
+        table[r.ra, r.rb] = r.n
     below = np.zeros((table.shape[0] + 1, table.shape[1] + 1))
     below[1:, 1:] = table.cumsum(0).cumsum(1)
-    left_less = below[:-1, :-1]
-    left_more = below[:-1, -1:] - below[:-1, 1:]
-    agree, differ = (table * left_less).sum(), (table * left_more).sum()
-    total = table.sum()
-    ties = lambda s: (s * (s - 1) / 2).sum()
-    pairs = total * (total - 1) / 2
-    tau = (agree - differ) / math.sqrt(max(TINY, (pairs - ties(table.sum(1))) * (pairs - ties(table.sum(0)))))
+    less += (table * below[:-1, :-1]).sum() - (table * (below[:-1, -1:] - below[:-1, 1:])).sum()
+    pairs = lambda n: n * (n - 1) / 2
+    n = F.sum("n").cast("double")
+    ties = [cells.groupBy(c).agg(n.alias("n")).agg(F.coalesce(F.sum(pairs(F.col("n"))), F.lit(0.0))).first()[0] for c in ("a", "b")]
+    total = pairs(table.sum())
+    tau = float(less) / math.sqrt(max(TINY, (total - ties[0]) * (total - ties[1])))
     return df.sparkSession.createDataFrame([(round(float(tau), 6),)], "kendall double")

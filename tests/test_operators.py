@@ -252,3 +252,18 @@ def test_neighbours_in_blocks(spark, monkeypatch):
     for k in range(0, 150, 10):
         far = sorted((points[k][0] - x) ** 2 + (points[k][1] - z) ** 2 for j, (x, z) in points.items() if j != k)[:4]
         assert [r[5] for r in sorted(whole[0], key=lambda r: r[4]) if r[0] == k] == far
+
+
+def test_kendall_is_exact_with_many_values(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=900)
+    y = x + rng.normal(size=900)
+    x, y = np.append(x, 1e9), np.append(y, -1e9)
+    x[:60] = np.round(x[:60])
+    y[30:90] = np.round(y[30:90])
+    dx, dy = np.sign(x[:, None] - x), np.sign(y[:, None] - y)
+    want = (dx * dy).sum() / math.sqrt((dx**2).sum() * (dy**2).sum())
+    rows = spark.createDataFrame([(float(p), float(q)) for p, q in zip(x, y, strict=True)], "a double, b double")
+    assert metrics.kendall(rows, "a", "b").first()[0] == pytest.approx(want, abs=1e-6)
+    monkeypatch.setattr(metrics, "RANGE_PAIRS", 100)
+    assert metrics.kendall(rows, "a", "b").first()[0] == pytest.approx(want, abs=1e-6)
