@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
-from itertools import combinations_with_replacement
+from itertools import combinations, combinations_with_replacement, islice
 
 import numpy as np
 import pandas as pd
@@ -45,7 +45,7 @@ def unary_statistics(df, names: list[str]) -> dict[str, dict]:
 
 @dataclass
 class SymbolicFeatures(Operator):
-    """Unary transforms where their domain allows, then products and sums of pairs.
+    """Unary transforms where their domain allows, then products of all pairs.
 
     Formulas that are constant, not finite, or correlated above ``parent`` with what they
     are made of, or above ``original`` with an original column, are left out.
@@ -54,7 +54,8 @@ class SymbolicFeatures(Operator):
     steps: int = 2
     parent: float = 0.95
     original: float = 0.9
-    most: int = 200
+    #: Pairs tried at most; None: all.
+    most: int | None = None
 
     def fit(self, df, names, y=None):
         stats = unary_statistics(df, names)
@@ -64,13 +65,8 @@ class SymbolicFeatures(Operator):
         if self.steps > 1:
             both, terms = {}, {c: _x(c) for c in names} | {k: v[0] for k, v in made.items()}
             listed = list(terms)
-            for i, a in enumerate(listed):
-                for b in listed[i + 1 :]:
-                    both[f"({a})*({b})"] = (BINARY["x*y"](terms[a], terms[b]), a)
-                    if len(both) >= self.most:
-                        break
-                if len(both) >= self.most:
-                    break
+            for a, b in islice(combinations(listed, 2), self.most):
+                both[f"({a})*({b})"] = (BINARY["x*y"](terms[a], terms[b]), a)
             made |= self._good(df, both, pool | made, names)
         return Fitted({k: v[0] for k, v in made.items()}, [], {"formulas": list(made)}, "num")
 

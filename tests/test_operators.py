@@ -267,3 +267,12 @@ def test_kendall_is_exact_with_many_values(spark, monkeypatch):
     assert metrics.kendall(rows, "a", "b").first()[0] == pytest.approx(want, abs=1e-6)
     monkeypatch.setattr(metrics, "RANGE_PAIRS", 100)
     assert metrics.kendall(rows, "a", "b").first()[0] == pytest.approx(want, abs=1e-6)
+
+
+def test_symbolic_tries_all_pairs(spark, monkeypatch):
+    tried = []
+    monkeypatch.setattr(expand.SymbolicFeatures, "_good", lambda self, df, new, known, names: tried.append(list(new)) or {})
+    names = [f"c{i}" for i in range(25)]
+    rows = spark.createDataFrame([tuple(float(i * j) for i in range(25)) for j in (-1, 1)], ",".join(f"{c} double" for c in names))
+    expand.SymbolicFeatures(steps=2).fit(rows, names)
+    assert len(tried[1]) == 300 and "(c23)*(c24)" in tried[1]
