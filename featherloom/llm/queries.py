@@ -52,12 +52,10 @@ FROM r WHERE page_id % 997 = 401 OR page_id % 211 = 7
 
 def op3_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated lines, and repeated passages whatever the lines, with byte spans in the text."""
-    docs = _table(spark, sf_dir, "documents")
-    lines = paragraphs.paragraph_classes(docs, least=1).withColumn("unit", F.lit("line"))
-    found = lines.unionByName(paragraphs.passage_classes(docs).withColumn("unit", F.lit("passage")))
+    found = paragraphs.paragraph_classes(_table(spark, sf_dir, "documents"))
     return found.select(
         F.col("id").alias("doc_id"), F.col("place").alias("paragraph"), F.col("words").alias("n_words"), F.col("class").alias("class_id"), "copies", "kept",
-        "unit", F.col("start").alias("byte_from"), F.col("stop").alias("byte_to"),
+        F.col("kind").alias("unit"), F.col("start").alias("byte_from"), F.col("stop").alias("byte_to"),
     )
 
 
