@@ -306,7 +306,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
 
 
 def _compared(similarity: float):
-    """Over partitions sorted by meeting: forest edges of the similar pairs of each, components apart."""
+    """Over partitions sorted by meeting: links between the components of each that have a similar pair, as stars."""
 
     def compare(keys: np.ndarray, own: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
         sizes = np.array([len(x) for x in sets])
@@ -323,22 +323,24 @@ def _compared(similarity: float):
             has = np.zeros((len(sets), COLUMNS), np.float32)
             has[owner[part], column[part] - at] = 1
             both += has @ has.T
-        up: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            while (y := up.get(x, x)) != x:
-                x = y
-            return x
-
-        edges = []
+        # components are one node each: which two of them have a similar pair
+        named, node = np.unique(own, return_inverse=True)
+        order = np.argsort(node, kind="stable")
+        firsts = np.searchsorted(node[order], np.arange(len(named)))
+        tied = np.zeros((len(named), len(sets)), bool)
         for at in range(0, len(sets), BLOCK):
             some = both[at : at + BLOCK]
             fits = some >= similarity * (sizes[at : at + BLOCK, None] + sizes[None] - some) - 1e-6
-            for i, j in np.argwhere(fits & (own[at : at + BLOCK, None] < own[None])).tolist():
-                x, y = find(int(own[at + i])), find(int(own[j]))
-                if x != y:
-                    up[max(x, y)] = min(x, y)
-                    edges.append((int(keys[at + i]), int(keys[j])))
+            np.logical_or.at(tied, node[at : at + BLOCK], fits)
+        tied = np.logical_or.reduceat(tied[:, order], firsts, axis=1)
+        left, edges, key = np.ones(len(named), bool), [], keys[order][firsts]
+        for k in np.flatnonzero(tied.sum(1) > 1).tolist():
+            now = left & (np.arange(len(named)) == k)
+            left &= ~now
+            while now.any():
+                now = tied[now].any(0) & left
+                left &= ~now
+                edges += [(int(key[k]), x) for x in key[now].tolist()]
         return edges
 
     def run(batches):
@@ -409,8 +411,8 @@ def paragraph_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     pairs = members.where("key <> leader").select(F.greatest("key", "leader").alias("a"), F.least("key", "leader").alias("b")).distinct()
     edges = cut(_verified(pairs, sets, similarity))
     classes = cut(_components(edges))
-    # buckets of which no leader tied all members: there all pairs count, compared within tasks
-    tied = members.drop("leader").join(classes, "key", "left").withColumn("own", F.coalesce("class", "key")).drop("class")
+    # buckets of which no leader tied all others: there all pairs count, compared within tasks
+    tied = members.where("key <> leader").drop("leader").join(classes, "key", "left").withColumn("own", F.coalesce("class", "key")).drop("class")
     open_ = cut(tied.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("own").alias("x"), F.max("own").alias("y")).where("x <> y").select("bucket", "n"))
     near = F.broadcast(open_) if open_.count() <= BUCKETS_MOST else open_
     more = cut(_meetings(tied.select("bucket", "key", "own").join(near, "bucket"), sets, similarity))
