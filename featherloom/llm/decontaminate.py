@@ -14,13 +14,16 @@ passes are chained without a shuffle. A document beyond a shard is indexed in se
 that overlap by a phrase less one word.
 
 Cases. Null and empty texts have no words and no hits. An item without words has no
-windows. Items of null id are searched under the id "". Repeated items count once by id;
+windows. Items of null id are searched under the id "". Benchmark words that share a hash
+get other hashes; document words that share one with them are told apart by their bytes. Repeated items count once by id;
 repeated documents each get a row. An empty benchmark hits nothing. Extra columns of
 ``docs`` pass through ``clean`` and are not read by ``contamination``.
 """
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,31 +41,34 @@ OTHER, FIRST = 1, 2
 
 IS_WORD = np.array([b >= 0x80 or chr(b).isalnum() for b in range(256)])
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
-BASE = 0x9E3779B97F4A7C15
+ODD = 0x9E3779B97F4A7C15
 
 SPANS = "array<struct<word_from:long,word_to:long,byte_from:long,byte_to:long>>"
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.ones(n, np.uint64)
-    out[1:] = np.uint64(base)
-    return np.cumprod(out, dtype=np.uint64)
+def _mix(h: np.ndarray) -> np.ndarray:
+    """Spread the bits of 64-bit words (the finaliser of SplitMix64)."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
 
 
 class Tokeniser:
-    """Words of byte buffers: their start, end and 64-bit hash."""
+    """Words of byte buffers: their start, end and 64-bit hash, sums of mixes of letters and their places."""
 
-    def __init__(self):
-        self.size = 0
+    def __init__(self, seed: int = 0):
+        self.seed, self.places = seed, np.empty(0, np.uint64)
 
     def _hashes(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        if len(raw) >= self.size:
-            self.size = len(raw) + 1
-            self.up, self.down = _powers(BASE, self.size), _powers(pow(BASE, -1, 1 << 64), self.size)
-        sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum((LOWER[raw].astype(np.uint64) + np.uint64(1)) * self.up[: len(raw)], out=sums[1:])
-        h = (sums[ends] - sums[starts]) * self.down[starts]
-        return (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+        if not len(starts):
+            return np.empty(0, np.uint64)
+        long = ends - starts
+        if long.max() > len(self.places):
+            self.places = _mix(np.arange(2 * int(long.max()), dtype=np.uint64) * np.uint64(ODD) + np.uint64(2 * self.seed + 1))
+        first = np.cumsum(long) - long
+        place = np.arange(int(long.sum())) - np.repeat(first, long)
+        letters = raw[place + np.repeat(starts, long)]
+        return _mix(np.add.reduceat(_mix(self.places[place] + LOWER[letters]), first) + long.astype(np.uint64))
 
     def words(self, raw: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, end, hash) of each word; no word goes across a position of ``cuts``."""
@@ -92,21 +98,28 @@ class Tokeniser:
 class Phrases:
     """The windows of one block of benchmark items, over the block's own vocabulary."""
 
-    def __init__(self, items: list[tuple[str, str]], window: int):
-        tokeniser, vocab, where = Tokeniser(), {}, {}
+    def __init__(self, items: list[tuple[str, str]], window: int, tokeniser: type[Tokeniser] = Tokeniser):
+        vocab, where, texts = {}, {}, []
         for item, text in items:
             raw = np.frombuffer(text.encode(), np.uint8)
-            starts, ends, hashes = tokeniser.words(raw, np.empty(0, np.int64))
-            low, ids = LOWER[raw].tobytes(), []
-            for a, b, h in zip(starts.tolist(), ends.tolist(), hashes.tolist(), strict=True):
-                ids.append(vocab.setdefault(low[a:b], (FIRST + len(vocab), h))[0])
+            starts, ends, _ = tokeniser().words(raw, np.empty(0, np.int64))
+            low = LOWER[raw].tobytes()
+            spelt = [low[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+            texts.append((item, [vocab.setdefault(w, FIRST + len(vocab)) for w in spelt]))
+        for item, ids in texts:
             for k in range(max(len(ids) - window, 0) + 1 if ids else 0):
                 where.setdefault(tuple(ids[k : k + window]), set()).add(item)
-        hashes = np.array([h for _, h in vocab.values()], np.uint64)
+        # words of the benchmark that share a hash are told apart by the next seed
+        self.spelt = list(vocab)
+        ends = np.cumsum(np.fromiter(map(len, vocab), np.int64, len(vocab)))
+        starts = ends - np.diff(ends, prepend=0)
+        for seed in itertools.count():
+            self.tokeniser = tokeniser(seed)
+            hashes = self.tokeniser._hashes(np.frombuffer(b"".join(vocab), np.uint8), starts, ends)
+            if len(np.unique(hashes)) == len(hashes):
+                break
         order = np.argsort(hashes)
-        self.hashes, self.ids, self.spelt = hashes[order], order + FIRST, list(vocab)
-        if len(np.unique(hashes)) < len(hashes):
-            raise ValueError("two benchmark words share a hash")
+        self.hashes, self.ids = hashes[order], order + FIRST
         self.bits = max(2, (FIRST + len(vocab) - 1).bit_length())
         self.names = sorted({x for s in where.values() for x in s})
         number = {x: i for i, x in enumerate(self.names)}
@@ -162,7 +175,7 @@ class Searcher:
     """Hits of one block of phrases in groups of documents."""
 
     def __init__(self, phrases: Phrases, shard_words: int = SHARD_BYTES // 4):
-        self.phrases, self.tokeniser, self.shard_words = phrases, Tokeniser(), shard_words
+        self.phrases, self.tokeniser, self.shard_words = phrases, phrases.tokeniser, shard_words
 
     def documents(self, raw: np.ndarray, offsets: np.ndarray):
         """Per document of the buffer: (number of words, starts, ends, hit words, item numbers)."""

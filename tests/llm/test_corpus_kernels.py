@@ -10,9 +10,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from featherloom.llm import bpe, decontaminate, golomb, quality, simhash
+from featherloom.llm import bpe, decontaminate, golomb, html_text, paragraphs, quality, simhash
 from featherloom.llm.fmindex import FMIndex, suffix_array
-from featherloom.llm import html_text
 from featherloom.llm.html_text import main_text
 
 
@@ -126,6 +125,32 @@ def test_html_rules():
     assert main_text("<article><p>cut off in a tag <a hre") == "cut off in a tag"
 
 
+class Clashing(decontaminate.Tokeniser):
+    """With its first seed all words of one length share a hash."""
+
+    def _hashes(self, raw, starts, ends):
+        return (ends - starts).astype(np.uint64) if self.seed == 0 else super()._hashes(raw, starts, ends)
+
+
+def test_benchmark_words_that_share_a_hash():
+    phrases = decontaminate.Phrases([("a", "one two six"), ("b", "ten")], 10, Clashing)
+    assert phrases.tokeniser.seed == 1 and len(set(phrases.hashes.tolist())) == 4
+    raw = np.frombuffer(b"say one two six, not ten", np.uint8)
+    (n, _, _, covered, items), = decontaminate.Searcher(phrases).documents(raw, np.array([0, len(raw)]))
+    assert n == 6 and covered.tolist() == [False, True, True, True, False, True] and sorted(phrases.names[x] for x in items) == ["a", "b"]
+
+
+def test_words_of_thue_morse_order_have_their_own_hashes():
+    """Sums of powers modulo 2^64 give such words one hash, whatever the base."""
+    t = "".join("ab"[bin(k).count("1") % 2] for k in range(1 << 12))
+    words = [t, t.translate(str.maketrans("ab", "ba"))]
+    raw = np.frombuffer(" ".join(words).encode(), np.uint8)
+    assert len(set(decontaminate.Tokeniser().words(raw, np.empty(0, np.int64))[2].tolist())) == 2
+    assert len(set(paragraphs.Words(raw, np.array([0])).hashes.tolist())) == 2
+    lines = "\n".join(" ".join(w) for w in words).encode()
+    assert len(set(paragraphs.Words(np.frombuffer(lines, np.uint8), np.array([0])).lines().key.tolist())) == 2
+
+
 PROSE = "The committee has agreed on the plan for the next year and it will be sent to all of the members of the council in the spring."
 
 
@@ -207,5 +232,14 @@ def test_trees_learn_and_fall_back():
     y = (x[:, 0] + x[:, 1] > 0).astype(float)
     trees = quality.BoostedTrees.fit(x[:400], y[:400])
     assert ((trees.score(x[400:]) > 0.5) == y[400:]).mean() > 0.9
+    # the flattened trees, walked node by node
+    for row, score in zip(x[:50], trees.score(x[:50]), strict=True):
+        margin = np.log(trees.base / (1 - trees.base))
+        for root in trees.roots:
+            node = root
+            while trees.child[node] != node:
+                node = trees.child[node] + int(row[trees.feature[node]] > trees.threshold[node])
+            margin += trees.value[node]
+        assert score == pytest.approx(1 / (1 + np.exp(-margin)), abs=1e-12)
     assert quality.BoostedTrees.fit(x[:0], y[:0]).score(x[:2]).tolist() == [1.0, 1.0]
     assert len(quality.statistics(None)) == len(quality.statistics("a b")) == len(quality.NAMES)
