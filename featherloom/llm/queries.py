@@ -22,31 +22,40 @@ def op1_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_warc_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages as WARC records, audited against a replica with planted faults.
 
-    The replica lacks pages of id 401 modulo 997 and has one byte changed in those of id 7
-    modulo 211 (the W of the record's first word).
+    The replica lacks pages of id 401 modulo 997, so that the rest of their volumes moves,
+    has one byte changed in those of id 7 modulo 211 (the W of the record's first word), and
+    a record too many, of an id of its own, for those of id 3 modulo 499.
     """
     pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
     volume = F.floor(F.col("page_id") / warc.VOLUME_IDS).alias("volume")
     records = pages.select(volume, F.col("page_id").alias("id"), warc.page_record().alias("record"))
     bad = F.concat(F.lit("V"), F.substr("record", F.lit(2)))
     replica = records.where("id is null or id % 997 <> 401").withColumn("record", F.when(F.col("id") % 211 == 7, bad).otherwise(F.col("record")))
+    more = records.where("id % 499 = 3").select("volume", (F.col("id") + 1_000_000_000).alias("id"), bad.alias("record"))
     rows = records.count()
-    found = warc.audit(warc.lay_out(records, rows), warc.lay_out(replica, rows)).where("status <> 'moved'")
-    return found.select(F.col("id").alias("page_id"), "status", "length", "digest", "other_digest")
+    found = warc.audit(warc.lay_out(records, rows), warc.lay_out(replica.union(more), rows))
+    return found.select(F.col("id").alias("page_id"), "status", "offset", "length", "digest", "other_digest")
 
 
 OP2_SQL = """
 WITH r AS (
-  SELECT page_id, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10)
+  SELECT page_id, page_id // 512 AS volume, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10)
     || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '')
     || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: '
     || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '')
     || chr(13) || chr(10) || chr(13) || chr(10) AS record
-  FROM pages)
-SELECT page_id, CASE WHEN page_id % 997 = 401 THEN 'missing' ELSE 'corrupt' END AS status,
-  strlen(record) AS length, sha256(record) AS digest,
-  CASE WHEN page_id % 997 <> 401 THEN sha256('V' || substr(record, 2)) END AS other_digest
-FROM r WHERE page_id % 997 = 401 OR page_id % 211 = 7
+  FROM pages),
+s AS (
+  SELECT page_id, volume, CASE WHEN page_id % 211 = 7 THEN 'V' || substr(record, 2) ELSE record END AS record FROM r WHERE page_id % 997 <> 401
+  UNION ALL SELECT page_id + 1000000000, volume, 'V' || substr(record, 2) FROM r WHERE page_id % 499 = 3),
+a AS (SELECT *, CAST(sum(strlen(record)) OVER (PARTITION BY volume ORDER BY page_id) - strlen(record) AS BIGINT) AS place FROM r),
+b AS (SELECT *, CAST(sum(strlen(record)) OVER (PARTITION BY volume ORDER BY page_id) - strlen(record) AS BIGINT) AS place FROM s)
+SELECT coalesce(a.page_id, b.page_id) AS page_id,
+  CASE WHEN a.page_id IS NULL THEN 'extra' WHEN b.page_id IS NULL THEN 'missing' WHEN a.record <> b.record THEN 'corrupt' ELSE 'moved' END AS status,
+  coalesce(a.place, b.place) AS "offset", coalesce(strlen(a.record), strlen(b.record)) AS length,
+  sha256(a.record) AS digest, sha256(b.record) AS other_digest
+FROM a FULL JOIN b ON a.page_id = b.page_id AND a.volume = b.volume
+WHERE a.page_id IS NULL OR b.page_id IS NULL OR a.record <> b.record OR a.place <> b.place
 """
 
 
