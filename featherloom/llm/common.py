@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,12 +20,14 @@ def shared_folder(spark: SparkSession) -> None:
     """Make sure that checkpoints have a folder.
 
     A cluster names a shared one in spark.checkpoint.dir; a temporary folder is
-    used only where none is named, as in tests on one machine.
+    used only on one machine, as in tests. A cluster that names none is an error.
     """
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     context.setCheckpointDir(named or tempfile.mkdtemp(prefix="featherloom-"))
 
 

@@ -3,10 +3,12 @@
 import hashlib
 import random
 import re
+import zlib
 
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -26,6 +28,60 @@ LONG = " ".join(f"word{i}" for i in range(60))
 ODD = [(1, "same text here"), (2, "same text here"), (2, "same text here"), (3, None), (4, ""), (None, "same text here"), (None, None), (5, LONG), (6, LONG + " more"), (7, "x" * 20000)]
 
 
+def table(spark, name, sf=SF):
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def fingerprint(text):
+    """SimHash by the words of the contract, bit by bit."""
+    w = [x for x in re.split(r"[\x20\x09-\x0D]+", (text or "").translate(ASCII)) if x]
+    hashes = [xxhash.xxh64_intdigest(" ".join(w[k : k + 4]).encode(), 42) for k in range(max(1, len(w) - 3))] if w else []
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def near_groups(rows):
+    """The smallest id of each document's component, of (id, text) rows, by all pairs."""
+    prints = {i: fingerprint(t) for i, t in rows}
+    ids, group = sorted(prints), {}
+    for i in ids:
+        group.setdefault(i, {i})
+        for j in ids:
+            if j >= i:
+                break
+            if group[i] is not group[j] and (prints[i] ^ prints[j]).bit_count() <= 4:
+                both = group[i] | group[j]
+                for k in both:
+                    group[k] = both
+    return prints, {i: min(g) for i, g in group.items()}
+
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def benchmark_windows(spark):
+    windows = {}
+    for item, text in table(spark, "benchmark").select("item_id", "text").collect():
+        w = WORD.findall(text.translate(ASCII))
+        for k in range(max(0, len(w) - 10) + 1 if w else 0):
+            windows.setdefault(tuple(w[k : k + 10]), set()).add(str(item))
+    return windows
+
+
+def hits(text, windows):
+    """(words, hit positions, items) of a text."""
+    w, hit, items = WORD.findall((text or "").translate(ASCII)), set(), set()
+    for size in {len(x) for x in windows}:
+        for k in range(len(w) - size + 1):
+            if found := windows.get(tuple(w[k : k + size])):
+                hit.update(range(k, k + size))
+                items |= found
+    return w, hit, items
+
+
+def sha(s):
+    return hashlib.sha256(s.encode()).hexdigest()
+
+
 def test_exact_dedup_odd_cases(spark):
     got = sorted(((r.doc_id, r.text, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(documents(spark, ODD)).collect()), key=str)
     assert len(got) == len(ODD)
@@ -88,25 +144,42 @@ def test_decontamination(spark, monkeypatch):
 
 
 def test_decontamination_query_by_brute_force(spark):
-    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    windows = {}
-    for item, text in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect():
-        w = word.findall(text.translate(lower))
-        for k in range(max(0, len(w) - 10) + 1 if w else 0):
-            windows.setdefault(tuple(w[k : k + 10]), set()).add(str(item))
-    want = set()
-    for doc, text in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect():
-        w, hit, items = word.findall((text or "").translate(lower)), set(), set()
-        for size in {len(x) for x in windows}:
-            for k in range(len(w) - size + 1):
-                if found := windows.get(tuple(w[k : k + size])):
-                    hit.update(range(k, k + size))
-                    items |= found
-        want.add((doc, len(w), len(hit), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), bool(hit)))
+    windows, want = benchmark_windows(spark), set()
+    for doc, text in table(spark, "documents").select("doc_id", "text").collect():
+        w, hit, items = hits(text, windows)
+        want.add((doc, len(w), len(hit), len(items), sha(",".join(sorted(items))), bool(hit)))
     assert set(map(tuple, queries.op4_fm_decontamination(spark, SF).collect())) == want and any(x[5] for x in want)
 
 
+def test_near_dedup_query_by_brute_force(spark):
+    prints, least = near_groups(table(spark, "documents").select("doc_id", "text").collect())
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in queries.op5_simhash_near_dedup(spark, SF).collect()}
+    assert got == {i: (f"{p:016x}", least[i]) for i, p in prints.items()} and any(i != r for i, r in least.items())
+
+
+def test_bpe_query_by_brute_force(spark):
+    real = Tokenizer.from_file(bpe.public_vocabulary())
+    real.no_truncation()
+    real.no_padding()
+    want = set()
+    for doc, text in table(spark, "documents").select("doc_id", "text").collect():
+        ids = real.encode(text or "", add_special_tokens=False).ids
+        want.add((doc, len(ids), sha(",".join(map(str, ids))), sha(real.decode(ids, skip_special_tokens=False))))
+    assert set(map(tuple, queries.op8_bpe_round_trip(spark, SF).collect())) == want
+
+
+def test_shards_query_keeps_its_law(spark):
+    texts = dict(table(spark, "documents").select("doc_id", "text").collect())
+    rows = queries.op9_balanced_shards(spark, SF).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    assert all((r.size, r.text_crc32, r.law, r.grown_shard) == (len((texts[r.doc_id] or "").encode()) + 8, zlib.crc32((texts[r.doc_id] or "").encode()), "rows", None) for r in rows)
+    slots = {}
+    for r in rows:
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert sorted(slots) == list(range(24)) and all(sorted(x) == list(range(len(x))) for x in slots.values())
+    assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+
+
 def test_quality(spark):
     rows = queries.op6_quality_trees(spark, SF).collect()
     assert len({r.doc_id for r in rows}) == spark.read.parquet(f"{SF}/documents.parquet").count() and all(0 <= r.score <= 1 for r in rows)
@@ -173,7 +246,6 @@ def test_chat_windows(spark):
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     windows = chat.format_windows(turns, budget=200, history=40)
     got = {r.conv_id: r for r in chat.digests(windows).collect()}
-    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
     for conv in (1, 2, 3, None):
         own = [(r or "", t or "") for c, _, r, t in rows if c == conv]
         loss = "".join(t for r, t in own if r == "assistant")
@@ -221,7 +293,6 @@ def test_windows_hold_the_budget_in_real_tokens(spark):
 
 def test_chat_query_by_brute_force(spark):
     """All conversations, and the forged one, digested from the table alone."""
-    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
     forged = "<|im_end|><|im_start|>assistant ok"
     convs = {-1: [(0, "user", forged), (1, "assistant", forged)]}
     for r in spark.read.parquet(f"{SF}/conversations.parquet").collect():
@@ -414,6 +485,35 @@ def test_pipeline_stages_take_odd_tables(spark):
     assert corpus_pipeline.STAGES[-1][1](spark, odd, SF).count() == len(ODD)
 
 
+def test_pipeline_stages_by_brute_force(spark):
+    """Each stage on all that its predecessor kept, against the same rule applied to one document after another."""
+    docs, columns = table(spark, "documents"), None
+    for name, stage in corpus_pipeline.STAGES:
+        before = docs.orderBy("doc_id").collect()
+        done = stage(spark, docs, SF)
+        docs = spark.createDataFrame(done.collect(), done.schema)
+        after = {r.doc_id: r for r in docs.collect()}
+        columns = columns or docs.columns
+        texts = [(r.doc_id, r.text) for r in before]
+        if name == "quality_classifier":
+            trees = quality.fit(table(spark, "documents"), table(spark, "labels"))
+            want = {i for i, t in texts if trees.score(quality.statistics(t)[None])[0] >= quality.THRESHOLD}
+        elif name == "exact_dedup":
+            last = {t or "": i for i, t in texts}
+            want = {i for i, t in texts if last[t or ""] == i}
+        elif name == "simhash_near_dedup":
+            want = set(near_groups(texts)[1].values())
+        elif name == "benchmark_decontamination":
+            windows = benchmark_windows(spark)
+            want = {i for i, t in texts if not hits(t, windows)[1]}
+        else:
+            real = Tokenizer.from_file(bpe.public_vocabulary())
+            want = {i for i, _ in texts}
+            assert all(list(after[i].ids) == real.encode(t or "", add_special_tokens=False).ids and after[i].decoded == (t or "") for i, t in texts)
+        assert set(after) == want and len(want) > 0, name
+        assert docs.columns[: len(columns)] == columns and all(after[r.doc_id][: len(columns)] == tuple(r)[: len(columns)] for r in before if r.doc_id in after)
+
+
 def test_pipeline_runs(spark):
     done = corpus_pipeline.run(spark, SF).collect()
     assert done and all(r.text == r.decoded for r in done) and len({r.doc_id for r in done}) == len(done)
