@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut
-from .sharding import ranked
+from .sharding import BUCKET_ROWS, ranked
 
 RANGE_BYTES, FANOUT = 1 << 16, 16
 #: Records that a volume has, by ranges of ids.
@@ -48,12 +48,20 @@ def page_record(id_col: str = "page_id", url_col: str = "url", payload_col: str
 def lay_out(records: DataFrame, rows: int, id_col: str = "id", record_col: str = "record", volume_col: str = "volume") -> DataFrame:
     """(volume, offset, length, id, digest): the manifest of records put one after another in their volumes.
 
-    The order in a volume depends on the records alone, and on ``rows``, the number of
-    records that both replicas are laid out for.
+    The order in a volume is that of ids and digests. Offsets are prefix sums within ranges
+    of about ``BUCKET_ROWS`` of the ``rows`` records, and over them, so no task holds a large volume.
     """
     length = F.octet_length(record_col).cast("long")
     each = records.select(F.col(volume_col).alias("volume"), F.col(id_col).alias("id"), length.alias("length"), F.sha2(record_col, 256).alias("digest"))
-    return ranked(each, ["volume"], [F.col("id")], rows, "offset", F.col("length")).select("volume", "offset", "length", "id", "digest")
+    # the number of its range is written with each row, so that no later run deals them otherwise
+    dealt = cut(each.repartitionByRange(max(1, rows // BUCKET_ROWS), "volume", "id", "digest").withColumn("range", F.spark_partition_id()))
+    ahead = Window.partitionBy("volume").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = dealt.groupBy("volume", "range").agg(F.sum("length").alias("total"))
+    totals = totals.select(F.col("volume").alias("v"), F.col("range").alias("r"), F.coalesce(F.sum("total").over(ahead), F.lit(0)).alias("before"))
+    within = Window.partitionBy("volume", "range").orderBy("id", "digest").rowsBetween(Window.unboundedPreceding, -1)
+    inside = dealt.withColumn("inside", F.coalesce(F.sum("length").over(within), F.lit(0)))
+    placed = inside.join(totals, F.col("volume").eqNullSafe(F.col("v")) & (F.col("range") == F.col("r")))
+    return placed.select("volume", (F.col("inside") + F.col("before")).alias("offset"), "length", "id", "digest")
 
 
 def read_volumes(spark: SparkSession, path: str) -> DataFrame:

@@ -461,6 +461,19 @@ def test_merkle_audit(spark):
     assert {r.status for r in warc.audit(a, a.limit(0)).collect()} == {"missing"}
 
 
+def test_layout_goes_by_id_whatever_the_ranges(spark):
+    records = spark.createDataFrame([(None if i % 5 == 0 else i // 70, None if i % 11 == 0 else i, "r" * (i % 13)) for i in range(300)] + [(1, 75, "again")] * 3, "volume long, id long, record string")
+    want = sorted(map(tuple, warc.lay_out(records, 1).collect()), key=str)
+    for rows in (100_000, 1_000_000):
+        assert sorted(map(tuple, warc.lay_out(records, rows).collect()), key=str) == want
+    volumes = {}
+    for v, at, n, i, d in want:
+        volumes.setdefault(v, []).append((at, n, i, d))
+    for rows in volumes.values():
+        rows.sort(key=lambda r: (r[2] is not None, r[2] or 0, r[3]))
+        assert [r[0] for r in rows] == [sum(x[1] for x in rows[:k]) for k in range(len(rows))]
+
+
 def test_warc_files(spark, tmp_path):
     one = b"WARC/1.0\r\nWARC-Record-ID: <urn:a>\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
     (tmp_path / "v.warc").write_bytes(one * 2)
