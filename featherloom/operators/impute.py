@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 from .base import Fitted, Operator, level_rows
+from .order import quantiles
 from .profile import is_number
 
 NULL_LEVEL = "<NULL>"
@@ -45,8 +46,10 @@ class SimpleImputer(Operator):
         numbers = [c for c in stay if is_number(kinds[c])]
         fill = {}
         if numbers:
-            how = {"median": F.median, "mean": F.avg}[self.num_strategy]
-            fill |= dict(zip(numbers, df.agg(*(how(F.col(f"`{c}`")).alias(str(i)) for i, c in enumerate(numbers))).first(), strict=True))
+            if self.num_strategy == "median":
+                fill |= {c: q[0] for c, q in quantiles(df, {c: F.col(f"`{c}`") for c in numbers}, [0.5]).items()}
+            else:
+                fill |= dict(zip(numbers, df.agg(*(F.avg(F.col(f"`{c}`")).alias(str(i)) for i, c in enumerate(numbers))).first(), strict=True))
         cats = [c for c in stay if c not in numbers]
         top = modes(df, cats) if self.cat_strategy == "most_frequent" else {}
         fill |= {c: NULL_LEVEL if (v := top.get(c)) is None else v for c in cats}

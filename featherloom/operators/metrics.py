@@ -5,11 +5,13 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .order import quantiles, running
 
 TINY = 1e-15
 
@@ -23,6 +25,8 @@ class Scorer:
     optimum: float
     sign: int
     value: Callable[..., Column]
+    #: Whether ``value`` is a row's error of which the score is the median, else an aggregate.
+    median: bool = False
 
     def loss(self, score: float) -> float:
         return self.optimum - self.sign * score
@@ -39,7 +43,7 @@ REGRESSION = {
         Scorer("pearsonr", "predict", 1, 1, lambda y, p: F.corr(y, p)),
         Scorer("mean_squared_error", "predict", 0, -1, lambda y, p: F.avg((y - p) * (y - p))),
         Scorer("mean_absolute_error", "predict", 0, -1, lambda y, p: F.avg(F.abs(y - p))),
-        Scorer("median_absolute_error", "predict", 0, -1, lambda y, p: F.median(F.abs(y - p))),
+        Scorer("median_absolute_error", "predict", 0, -1, lambda y, p: F.abs(y - p), True),
     )
 }
 
@@ -106,7 +110,9 @@ CLASSIFICATION = {
 def evaluate(df: DataFrame, y: str, p: str, scorers: dict[str, Scorer]) -> DataFrame:
     """One row with every score, from one aggregate; rows with a null are left out."""
     rows = df.where(F.col(y).isNotNull() & F.col(p).isNotNull())
-    return rows.agg(*(F.round(s.value(F.col(y), F.col(p)), 6).alias(name) for name, s in scorers.items()))
+    medians = {n: s.value(F.col(y), F.col(p)) for n, s in scorers.items() if s.median}
+    found = {n: q[0] for n, q in quantiles(rows, medians, [0.5]).items()}
+    return rows.agg(*((F.lit(found[name]).cast("double") if s.median else s.value(F.col(y), F.col(p))).alias(name) for name, s in scorers.items())).select(*(F.round(name, 6).alias(name) for name in scorers))
 
 
 def make_scorer(name: str, value: Callable[..., Column], optimum: float = 1, more_is_better: bool = True, kind: str = "predict") -> Scorer:
@@ -206,8 +212,11 @@ def average_precision(df: DataFrame, y: str, p: str) -> DataFrame:
 
 def mean_ranks(df: DataFrame, keys: list[str], c: str, made: str) -> DataFrame:
     """Average ranks of a column within ``keys``."""
-    w, tie = Window.partitionBy(*keys).orderBy(c), Window.partitionBy(*keys, c)
-    return df.withColumn(made, F.rank().over(w) + (F.count(F.lit(1)).over(tie) - 1) / F.lit(2.0))
+    values = df.groupBy(*keys, F.col(c).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    ranks = running(values, keys, ["__v"], {"__below": ("sum", F.col("__n"))}, exclusive=True)
+    ranks = ranks.select(*(F.col(k).alias(f"__g_{i}") for i, k in enumerate(keys)), "__v", (F.col("__below") + (F.col("__n") + 1) / F.lit(2.0)).alias(made))
+    same = [F.col(k).eqNullSafe(F.col(f"__g_{i}")) for i, k in enumerate(keys)]
+    return df.join(ranks, reduce(lambda a, b: a & b, same, F.col(c).eqNullSafe(F.col("__v")))).select(*df.columns, made)
 
 
 def spearman(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:

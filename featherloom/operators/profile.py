@@ -22,33 +22,33 @@ def as_text(c: str) -> Column:
 def profile(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     """(column_name, n_rows, n_null, null_ratio, n_distinct, min_text, max_text), a row per column.
 
-    One aggregate over all columns, then unfolded; nested columns are left out.
+    Nulls and ends come from one aggregate; distinct texts from (column, text) pairs, put
+    together where they are read, so that a row is not copied whole for each column. Nested
+    columns are left out.
     """
     kinds = dict(df.dtypes)
     names = [c for c in names or df.columns if not kinds[c].startswith(("array", "map", "struct"))]
     stats = []
     for i, c in enumerate(names):
         x = F.col(f"`{c}`")
-        stats += [
-            F.count_if(x.isNull()).alias(f"null_{i}"),
-            F.count_distinct(as_text(c)).alias(f"distinct_{i}"),
-            F.min(x).cast("string").alias(f"min_{i}"),
-            F.max(x).cast("string").alias(f"max_{i}"),
-        ]
+        stats += [F.count_if(x.isNull()).alias(f"null_{i}"), F.min(x).cast("string").alias(f"min_{i}"), F.max(x).cast("string").alias(f"max_{i}")]
     one = df.agg(F.count(F.lit(1)).alias("n"), *stats)
+    pairs = df.select(F.inline(F.array(*(F.struct(F.lit(i).alias("i"), as_text(c).alias("v")) for i, c in enumerate(names)))))
+    distinct = pairs.distinct().groupBy("i").agg(F.count(F.lit(1)).alias("d"))
     rows = [
         F.struct(
+            F.lit(i).alias("i"),
             F.lit(c).alias("column_name"),
             F.col("n").alias("n_rows"),
             F.col(f"null_{i}").alias("n_null"),
             F.round(F.try_divide(F.col(f"null_{i}"), F.col("n")).cast("double"), 6).alias("null_ratio"),
-            F.col(f"distinct_{i}").alias("n_distinct"),
             F.col(f"min_{i}").alias("min_text"),
             F.col(f"max_{i}").alias("max_text"),
         )
         for i, c in enumerate(names)
     ]
-    return one.select(F.inline(F.array(*rows)))
+    joined = one.select(F.inline(F.array(*rows))).join(distinct, "i", "left")
+    return joined.select("column_name", "n_rows", "n_null", "null_ratio", F.coalesce("d", F.lit(0).cast("long")).alias("n_distinct"), "min_text", "max_text")
 
 
 def has_null(c: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .base import Fitted, Operator
+from .order import quantiles
 
 
 def _col(c: str) -> Column:
@@ -48,10 +49,9 @@ class RobustScaler(Operator):
     high: float = 0.75
 
     def fit(self, df, names, y=None):
-        s = _stats(df, names, q=lambda x: F.percentile(x, [self.low, 0.5, self.high]))
+        s = {"q": quantiles(df, {c: _col(c) for c in names}, [self.low, 0.5, self.high])}
         made = {}
         for c, q in s["q"].items():
-            q = q or [None] * 3
             made[c] = (_col(c) - F.lit(q[1])) / F.lit((q[2] - q[0] if q[0] is not None else 0) or 1.0)
         return Fitted(made, [], s)
 
@@ -75,8 +75,8 @@ class QuantileScaler(Operator):
     def fit(self, df, names, y=None):
         n = max(2, min(self.quantiles, df.count()))
         at = [k / (n - 1) for k in range(n)]
-        s = _stats(df, names, q=lambda x: F.percentile(x, at))
-        return Fitted({c: self._normal(self._place(_col(c), q, at)) if self.normal else self._place(_col(c), q, at) for c, q in s["q"].items() if q}, [], s)
+        s = {"q": quantiles(df, {c: _col(c) for c in names}, at)}
+        return Fitted({c: self._normal(self._place(_col(c), q, at)) if self.normal else self._place(_col(c), q, at) for c, q in s["q"].items() if q[0] is not None}, [], s)
 
     @staticmethod
     def _place(x: Column, q: list[float], at: list[float]) -> Column:

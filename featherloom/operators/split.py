@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .order import hash_rank, quantiles
+
 FOLD = "_fold"
 
 
@@ -17,8 +19,8 @@ def dealt(key: str, seed: int = 0) -> Column:
 
 def stratified_folds(df: DataFrame, key: str, y: str, k: int = 5, seed: int = 0) -> DataFrame:
     """``df`` with a fold for each row; every fold has its share of each class, to a row."""
-    w = Window.partitionBy(y).orderBy(dealt(key, seed), F.col(key))
-    return df.withColumn(FOLD, ((F.row_number().over(w) - 1) % k).cast("int"))
+    ranked = hash_rank(df, [y], dealt(key, seed), key, "__k")
+    return ranked.withColumn(FOLD, ((F.col("__k") - 1) % k).cast("int")).drop("__k")
 
 
 def hash_folds(df: DataFrame, key: str, k: int = 5, seed: int = 0) -> DataFrame:
@@ -40,15 +42,15 @@ def default_splitter(rows: int, classify: bool, most: int = 5000) -> Callable[[D
 
 def stratified_sample(df: DataFrame, key: str, y: str, share: float, seed: int = 0) -> DataFrame:
     """A share of each class, a row of each at least."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(y))
-    nth = F.row_number().over(Window.partitionBy(y).orderBy(dealt(key, seed), F.col(key)))
-    return df.withColumns({"__n": n, "__k": nth}).where(F.col("__k") <= F.greatest(F.lit(1), F.round(F.col("__n") * share))).drop("__n", "__k")
+    sizes = df.groupBy(F.col(y).alias("__y")).agg(F.count(F.lit(1)).alias("__n"))
+    ranked = hash_rank(df, [y], dealt(key, seed), key, "__k").join(sizes, F.col(y).eqNullSafe(F.col("__y")))
+    return ranked.where(F.col("__k") <= F.greatest(F.lit(1), F.round(F.col("__n") * share))).drop("__n", "__k", "__y")
 
 
 def binned(df: DataFrame, y: str, made: str, bins: int = 5) -> DataFrame:
     """A continuous target as quantile bins, so that it can be stratified."""
-    cuts = df.agg(F.percentile(F.col(y).cast("double"), [i / bins for i in range(1, bins)])).first()[0] or []
-    return df.withColumn(made, sum(((F.col(y) > c).cast("int") for c in cuts), F.lit(0)))
+    cuts = quantiles(df, {y: F.col(y)}, [i / bins for i in range(1, bins)])[y]
+    return df.withColumn(made, sum(((F.col(y) > c).cast("int") for c in cuts if c is not None), F.lit(0)))
 
 
 def class_weights(df: DataFrame, y: str) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import clean_text, tokens
+from ..session import cut
 
 
 def tokenise(df: DataFrame, c: str, made: str | None = None) -> DataFrame:
@@ -40,13 +41,14 @@ def tf_idf(df: DataFrame, key: str, c: str, letters: int = 2) -> DataFrame:
 
     Tokens are lower-cased; shorter ones than ``letters`` are left out.
     """
-    long = df.select(key, F.explode(c).alias("token")).select(key, F.lower("token").alias("token")).where(F.length("token") >= letters)
-    tf = long.groupBy(key, "token").agg(F.count(F.lit(1)).alias("tf"))
-    rows = df.agg(F.count(F.lit(1)).alias("rows"))
-    idf = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(rows)).select("token", (F.log((1 + F.col("rows")) / (1 + F.col("df"))) + 1).alias("idf"))
+    rows = df.count()
+    long = df.select(key, F.explode(c).alias("token")).where(F.length("token") >= letters).select(key, F.lower("token").alias("token"))
+    # dealt by row once: the counts, and later the norms, need no other shuffle
+    tf = cut(long.repartition(key).groupBy(key, "token").agg(F.count(F.lit(1)).alias("tf")))
+    idf = tf.groupBy("token").agg((F.log(F.lit(1 + rows) / (1 + F.count(F.lit(1)))) + 1).alias("idf"))
     raw = tf.join(idf, "token").withColumn("raw", F.col("tf") * F.col("idf"))
-    norm = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return raw.join(norm, key).select(key, "token", (F.col("raw") / F.col("norm")).alias("weight"))
+    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))
+    return raw.select(key, "token", (F.col("raw") / norm).alias("weight"))
 
 
 def _vectors(df: DataFrame, c: str, size: int):

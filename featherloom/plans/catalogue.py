@@ -57,7 +57,7 @@ def _apply(df: DataFrame, keys: list[str], names: list[str], op, y: str | None =
 
 # ---- profiles -----------------------------------------------------------------
 
-PROFILED = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_shipdate")
+PROFILED = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
 
 
 @query(
@@ -69,7 +69,7 @@ PROFILED = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnfla
     ),
 )
 def p01_profile(spark: SparkSession, d: str) -> DataFrame:
-    return profile(table(spark, d, "lineitem"), list(PROFILED))
+    return profile(table(spark, d, "lineitem"))
 
 
 @query(
@@ -232,8 +232,8 @@ def c04_row_normal(spark, d):
 @query("c05_quantile_grid", " UNION ALL ".join(f"SELECT {k / 10}::DOUBLE AS q, round(quantile_cont(o_totalprice, {k / 10}), 6) AS value FROM orders" for k in range(11)))
 def c05_quantile_grid(spark, d):
     at = [k / 10 for k in range(11)]
-    one = table(spark, d, "orders").agg(F.percentile("o_totalprice", at).alias("v"))
-    return one.select(F.inline(F.arrays_zip(F.array(*map(F.lit, at)).alias("q"), F.col("v")))).toDF("q", "value").select("q", F.round("value", 6).alias("value"))
+    fitted = scale.QuantileScaler(11).fit(table(spark, d, "orders"), ["o_totalprice"])
+    return spark.createDataFrame([(q, round(v, 6)) for q, v in zip(at, fitted.state["q"]["o_totalprice"], strict=True)], "q double, value double")
 
 
 @query("c06_yeo_johnson", "SELECT c_custkey, round(CASE WHEN c_acctbal >= 0 THEN (pow(c_acctbal + 1, 0.5) - 1) / 0.5 ELSE -(pow(1 - c_acctbal, 1.5) - 1) / 1.5 END, 6) AS c_acctbal FROM customer")

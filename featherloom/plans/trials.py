@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.order import group_quantile, running
+
 #: Loss of a run that failed.
 FAILED_LOSS = 65535.0
 
@@ -26,14 +28,12 @@ def specific(log: DataFrame, ids: list, key: str = "seq") -> DataFrame:
 
 def retained(log: DataFrame, n: int, by: list[str] | None = None) -> DataFrame:
     """The best n runs of each group; the rest may be deleted."""
-    w = Window.partitionBy(*(by or ["budget"])).orderBy("loss", "seq")
-    return log.withColumn("__k", F.row_number().over(w)).where(F.col("__k") <= n).drop("__k")
+    return running(log, by or ["budget"], ["loss", "seq"], {"__k": ("count", F.lit(1))}).where(F.col("__k") <= n).drop("__k")
 
 
 def running_best(log: DataFrame) -> DataFrame:
     """Each run with the least loss of its budget so far, and how many had finished."""
-    w = Window.partitionBy("budget").orderBy("finished", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    return log.withColumns({"best": F.min("loss").over(w), "n_finished": F.count(F.lit(1)).over(w)})
+    return running(log, ["budget"], ["finished", "seq"], {"best": ("min", F.col("loss")), "n_finished": ("count", F.lit(1))})
 
 
 def incumbent_per_budget(log: DataFrame) -> DataFrame:
@@ -43,12 +43,10 @@ def incumbent_per_budget(log: DataFrame) -> DataFrame:
 
 def incumbent_trajectory(log: DataFrame, by: str = "experiment") -> DataFrame:
     """Runs that became the incumbent of their experiment: a larger budget than any before, or as large and of less loss."""
-    order = Window.partitionBy(by).orderBy("finished", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    seen = log.withColumn("__b", F.max("budget").over(order))
+    seen = running(log, [by], ["finished", "seq"], {"__b": ("max", F.col("budget"))}, exclusive=True)
     # the least loss so far among the runs of the largest budget so far
     reach = seen.withColumn("__top", F.greatest(F.coalesce("__b", "budget"), "budget"))
-    same = Window.partitionBy(by, "__top").orderBy("finished", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    best = reach.withColumn("__l", F.min(F.when(F.col("budget") == F.col("__top"), F.col("loss"))).over(same))
+    best = running(reach, [by, "__top"], ["finished", "seq"], {"__l": ("min", F.when(F.col("budget") == F.col("__top"), F.col("loss")))}, exclusive=True)
     new = F.col("__b").isNull() | (F.col("budget") > F.col("__b")) | ((F.col("budget") == F.col("__b")) & (F.col("__l").isNull() | (F.col("loss") < F.col("__l"))))
     return best.where(new).drop("__b", "__top", "__l")
 
@@ -66,8 +64,8 @@ def largest_budget_runs(log: DataFrame) -> DataFrame:
 
 def promoted(log: DataFrame, k: int | Column, by: list[str]) -> DataFrame:
     """Successive halving: of each stage the k runs of least loss go on."""
-    w = Window.partitionBy(*by).orderBy("loss", "seq")
-    return log.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+    ranked = running(log, by, ["loss", "seq"], {"place": ("count", F.lit(1))})
+    return ranked.withColumn("place", F.col("place").cast("int")).where(F.col("place") <= k)
 
 
 def resampled(log: DataFrame, k: int, by: list[str], rate: float = 0.5, least: int = 1) -> DataFrame:
@@ -77,12 +75,11 @@ def resampled(log: DataFrame, k: int, by: list[str], rate: float = 0.5, least: i
 
 def without_gaps(log: DataFrame, by: str = "experiment", longest: float = 0.0) -> DataFrame:
     """Times with the pauses between an experiment's runs taken out."""
-    w = Window.partitionBy(by).orderBy("started", "seq")
-    ends = F.max("finished").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    gap = F.greatest(F.col("started") - ends - longest, F.lit(0.0))
-    gaps = log.withColumn("__g", F.coalesce(gap, F.lit(0.0)))
-    off = F.sum("__g").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return gaps.withColumn("__o", off).withColumns({"started": F.col("started") - F.col("__o"), "finished": F.col("finished") - F.col("__o")}).drop("__g", "__o")
+    ended = running(log, [by], ["started", "seq"], {"__e": ("max", F.col("finished"))}, exclusive=True)
+    gap = F.greatest(F.col("started") - F.col("__e") - longest, F.lit(0.0))
+    gaps = ended.withColumn("__g", F.when(F.col("__e").isNull(), 0.0).otherwise(gap))
+    off = running(gaps, [by], ["started", "seq"], {"__o": ("sum", F.col("__g"))})
+    return off.withColumns({"started": F.col("started") - F.col("__o"), "finished": F.col("finished") - F.col("__o")}).drop("__e", "__g", "__o")
 
 
 def concurrency(log: DataFrame) -> DataFrame:
@@ -119,7 +116,9 @@ def loss_histogram(log: DataFrame, low: float, high: float, bins: int, kind: str
 def loss_summary(log: DataFrame, by: str = "budget") -> DataFrame:
     """5th percentile, least, most, mean and population deviation of losses."""
     r = lambda c, n: F.round(c, 6).alias(n)
-    return log.groupBy(by).agg(r(F.percentile("loss", 0.05), "p05"), r(F.min("loss"), "least"), r(F.max("loss"), "most"), r(F.avg("loss"), "mean"), r(F.stddev_pop("loss"), "deviation"))
+    low = group_quantile(log, [by], "loss", 0.05, "p05").select(F.col(by).alias("__by"), r("p05", "p05"))
+    rest = log.groupBy(by).agg(r(F.min("loss"), "least"), r(F.max("loss"), "most"), r(F.avg("loss"), "mean"), r(F.stddev_pop("loss"), "deviation"))
+    return rest.join(low, F.col(by).eqNullSafe(F.col("__by")), "left").select(by, "p05", "least", "most", "mean", "deviation")
 
 
 def budget_pairs(log: DataFrame) -> DataFrame:
