@@ -86,6 +86,14 @@ class FeatureFrame:
         """Other groups for groups or for single columns; no plan changes."""
         return FeatureFrame(self.df, {c: mapping.get(c, mapping.get(g, g)) for c, g in self.groups.items()})
 
+    def concat(self, other: FeatureFrame, key: str) -> FeatureFrame:
+        """The columns of ``other`` beside these, row by row of an equal key; names that are taken get a number."""
+        theirs = [c for c in other.df.columns if c != key]
+        names = unique_names([*self.df.columns, *theirs])[len(self.df.columns) :]
+        right = other.df.select(F.col(key).alias("__key"), *(F.col(f"`{c}`").alias(n) for c, n in zip(theirs, names, strict=True)))
+        df = self.df.join(right, F.col(key).eqNullSafe(F.col("__key"))).drop("__key")
+        return FeatureFrame(df, self.groups | {n: other.groups[c] for c, n in zip(theirs, names, strict=True) if c in other.groups})
+
     def drop(self, group) -> FeatureFrame:
         return self.select(group, inside=False)
 

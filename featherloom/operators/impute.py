@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .base import Fitted, Operator, level_rows
+from .base import Fitted, Operator, level_rows, lookup
 from .order import quantiles
 from .profile import is_number
 
@@ -57,6 +57,28 @@ class SimpleImputer(Operator):
         return Fitted(made, gone, {"fill": fill, "dropped": gone, "ratios": ratios})
 
 
+@dataclass
+class CategoryCoder:
+    """Categories as whole numbers (by the order of their names) and back; nulls stay null both ways."""
+
+    levels: dict[str, list[str]] = field(default_factory=dict)
+
+    def fit(self, df: DataFrame, names: list[str]) -> CategoryCoder:
+        self.levels = {c: [r["v"] for r in rows] for c, rows in level_rows(df, names).items()}
+        return self
+
+    def encode(self, df: DataFrame) -> DataFrame:
+        return df.withColumns({c: lookup(c, {v: float(i) for i, v in enumerate(found)}, None, "double") for c, found in self.levels.items()})
+
+    def decode(self, df: DataFrame) -> DataFrame:
+        """The category of the nearest code; beyond the ends the first or the last."""
+        made = {}
+        for c, found in self.levels.items():
+            at = F.greatest(F.least(F.round(F.col(f"`{c}`")).cast("int"), F.lit(len(found) - 1)), F.lit(0))
+            made[c] = F.when(F.col(f"`{c}`").isNotNull(), F.get(F.array(*map(F.lit, found)), at)) if found else F.lit(None).cast("string")
+        return df.withColumns(made)
+
+
 @dataclass
 class IterativeImputer(Operator):
     """Each incomplete column is predicted from the others, in rounds, by a tree model.

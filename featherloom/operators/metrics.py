@@ -125,8 +125,8 @@ def confusion(df: DataFrame, y: str, p: str) -> DataFrame:
     return df.groupBy(F.col(y).alias("y"), F.col(p).alias("p")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def class_scores(df: DataFrame, y: str, p: str) -> DataFrame:
-    """(class, n, precision, recall, f1) of each class, from the confusion table."""
+def class_scores(df: DataFrame, y: str, p: str, exact: bool = False) -> DataFrame:
+    """(class, n, precision, recall, f1) of each class, from the confusion table; or its counts (class, tp, n, m)."""
     cells = confusion(df, y, p)
     long = cells.select(F.inline(F.array(F.struct(F.col("y").alias("class"), F.lit("y").alias("side"), "n", (F.col("y") == F.col("p")).alias("hit")), F.struct(F.col("p").alias("class"), F.lit("p").alias("side"), "n", F.lit(False).alias("hit")))))
     sums = long.groupBy("class").agg(
@@ -134,6 +134,8 @@ def class_scores(df: DataFrame, y: str, p: str) -> DataFrame:
         F.coalesce(F.sum(F.when(F.col("side") == "y", F.col("n"))), F.lit(0)).alias("n"),
         F.coalesce(F.sum(F.when(F.col("side") == "p", F.col("n"))), F.lit(0)).alias("m"),
     )
+    if exact:
+        return sums
     ratio = lambda a, b: F.round(F.coalesce(F.try_divide(a, b), F.lit(0)).cast("double"), 6)
     return sums.select("class", "n", ratio(F.col("tp"), F.col("m")).alias("precision"), ratio(F.col("tp"), F.col("n")).alias("recall"), ratio(2 * F.col("tp"), F.col("n") + F.col("m")).alias("f1"))
 
@@ -150,6 +152,39 @@ def averaged_scores(df: DataFrame, y: str, p: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+def class_log_loss(df: DataFrame, y: str, probabilities: dict) -> DataFrame:
+    """(log_loss, pac_score) over classes; ``probabilities`` maps a class to its column, and rows sum to 1 after scaling."""
+    clipped = {k: F.greatest(F.least(F.col(c), F.lit(1 - TINY)), F.lit(TINY)) for k, c in probabilities.items()}
+    own = F.coalesce(*(F.when(F.col(y) == F.lit(k), c) for k, c in clipped.items()))
+    total = sum(clipped.values(), F.lit(0.0))
+    priors = [F.avg((F.col(y) == F.lit(k)).cast("double")) for k in probabilities]
+    base = F.exp(sum((F.when(q > 0, q * F.log(q)).otherwise(0.0) for q in priors), F.lit(0.0)))
+    one = df.where(F.col(y).isNotNull()).agg((-F.avg(F.log(own / total))).alias("ll"), base.alias("base"))
+    return one.select(F.round("ll", 6).alias("log_loss"), F.round(F.try_divide(F.exp(-F.col("ll")) - F.col("base"), 1 - F.col("base")), 6).alias("pac_score"))
+
+
+def class_balanced_accuracy(df: DataFrame, y: str, p: str) -> DataFrame:
+    """(balanced_accuracy): the mean recall of the classes that occur as targets."""
+    each = df.where(F.col(y).isNotNull()).groupBy(y).agg(F.avg((F.col(y) == F.col(p)).cast("double")).alias("r"))
+    return each.agg(F.round(F.avg("r"), 6).alias("balanced_accuracy"))
+
+
+def class_mcc(df: DataFrame, y: str, p: str) -> DataFrame:
+    """(mcc) over any number of classes, from the confusion table."""
+    each = class_scores(df, y, p, exact=True)
+    one = each.agg(F.sum("tp").alias("c"), F.sum("n").alias("s"), F.sum(F.col("n") * F.col("m")).alias("nm"), F.sum(F.col("n") * F.col("n")).alias("nn"), F.sum(F.col("m") * F.col("m")).alias("mm"))
+    s = F.col("s").cast("double")
+    root = F.sqrt((s * s - F.col("mm")) * (s * s - F.col("nn")))
+    return one.select(F.round(F.coalesce(F.try_divide(F.col("c") * s - F.col("nm"), root), F.lit(0.0)), 6).alias("mcc"))
+
+
+def sample_scores(df: DataFrame, y: str, p: str) -> DataFrame:
+    """(precision, recall, f1) averaged over rows, for columns that hold each row's set of labels as an array."""
+    hit, m, n = F.size(F.array_intersect(y, p)), F.size(F.array_distinct(p)), F.size(F.array_distinct(y))
+    ratio = lambda a, b: F.round(F.avg(F.coalesce(F.try_divide(a, b), F.lit(0.0))), 6)
+    return df.where(F.col(y).isNotNull() & F.col(p).isNotNull()).agg(ratio(hit, m).alias("precision"), ratio(hit, n).alias("recall"), ratio(2 * hit, m + n).alias("f1"))
+
+
 def _score_table(df: DataFrame, y: str, p: str) -> DataFrame:
     """(score, pos, neg) of each distinct score, with the counts below it.
 

@@ -54,8 +54,14 @@ def f_regression(df: DataFrame, names: list[str], y: str) -> DataFrame:
     return one.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column_name"), F.round(f(i), 6).alias("f")) for i, c in enumerate(names)))))
 
 
-def mutual_information(df: DataFrame, names: list[str], y: str, bins: int = 16) -> DataFrame:
-    """(column_name, mi): plug-in mutual information of each column, in equal-width bins, with the target."""
+def mutual_information(df: DataFrame, names: list[str], y: str, bins: int = 16, target_bins: int | None = None) -> DataFrame:
+    """(column_name, mi): plug-in mutual information of each column, in equal-width bins, with the target.
+
+    A continuous target is binned too, into ``target_bins``.
+    """
+    if target_bins:
+        low, high = df.agg(F.min(_x(y)), F.max(_x(y))).first()
+        df = df.withColumn(y, F.least(F.floor((_x(y) - (low or 0.0)) / (((high or 0.0) - (low or 0.0)) or 1.0) * target_bins), F.lit(target_bins - 1)))
     row = df.agg(*(f(_x(c)).alias(f"{k}{i}") for k, f in (("a", F.min), ("b", F.max)) for i, c in enumerate(names))).first()
     pairs = []
     for i, c in enumerate(names):
@@ -77,7 +83,7 @@ class UnivariateSelector(Operator):
     percent: float = 50.0
 
     def fit(self, df, names, y=None):
-        how = {"f_classif": anova_f, "chi2": chi2, "f_regression": f_regression, "mutual_info": mutual_information}[self.score]
+        how = {"f_classif": anova_f, "chi2": chi2, "f_regression": f_regression, "mutual_info": mutual_information, "mutual_info_regression": lambda d, n, t: mutual_information(d, n, t, target_bins=16)}[self.score]
         found = {r[0]: r[1] for r in how(df, names, y).collect()}  # a row per column
         top = sorted(names, key=lambda c: (-(found.get(c) or 0.0), names.index(c)))[: max(1, math.ceil(len(names) * self.percent / 100))]
         return Fitted({}, [c for c in names if c not in top], {"scores": found})
@@ -196,3 +202,91 @@ class BorutaSelector(Operator):
         if len(kept) < 2:
             kept = sorted(names, key=lambda c: -np.median(seen[c]))[:2]
         return Fitted({}, [c for c in names if c not in kept], {"hits": hits})
+
+
+@dataclass
+class NoiseFilter(Operator):
+    """Columns whose weight in a linear model exceeds that of every noise column added to them.
+
+    Noise columns are normal numbers, half as many as the columns and three at least, and
+    the columns themselves with their rows' values dealt anew by a hash; all have mean 0 and
+    deviation 1. Of ``rounds`` resamples of 85 % of the rows a column must win ``share``.
+    """
+
+    needs_target = True
+    classify: bool = True
+    rounds: int = 3
+    share: float = 0.5
+    seed: int = 1
+
+    def fit(self, df, names, y=None):
+        from pyspark.ml.classification import LogisticRegression
+        from pyspark.ml.regression import LinearRegression
+
+        from .estimators import assembled
+        from .scale import StandardScaler
+
+        wins = dict.fromkeys(names, 0)
+        own = StandardScaler().fit(df, names).made
+        noise = [f"__noise_{i}" for i in range(max(3, len(names) // 2))]
+        for r in range(self.rounds):
+            part = df.select(y, *(F.coalesce(x, F.lit(0.0)).alias(f"__x_{i}") for i, x in enumerate(own.values())))
+            part = part.withColumns({n: F.randn(self.seed * 1000 + 100 * r + i) for i, n in enumerate(noise)}).sample(0.85, self.seed + r)
+            rows = assembled(part, [f"__x_{i}" for i in range(len(names))] + noise, y)
+            kind = LogisticRegression(regParam=0.01) if self.classify else LinearRegression(regParam=0.01)
+            model = kind.fit(rows)
+            weights = abs(model.coefficientMatrix.toArray()).max(0) if self.classify else abs(model.coefficients.toArray())
+            for c, w in zip(names, weights, strict=False):
+                wins[c] += bool(w > weights[len(names) :].max())
+        kept = [c for c in names if wins[c] >= self.share * self.rounds]
+        return Fitted({}, [c for c in names if c not in kept], {"wins": wins})
+
+
+def best_count(score, most: int, rounds: int = 10) -> int:
+    """The number of columns, from 1 to ``most``, of the best score: thirds first, then halves about the best so far."""
+    seen: dict[int, float] = {}
+
+    def at(n: int) -> float:
+        if n not in seen:
+            seen[n] = score(n)
+        return seen[n]
+
+    for n in {most, max(1, most // 3), max(1, 2 * most // 3)}:
+        at(n)
+    for _ in range(rounds):
+        best = max(seen, key=lambda n: (seen[n], -n))
+        below, above = max((n for n in seen if n < best), default=0), min((n for n in seen if n > best), default=None)
+        new = [m for m in ((below + best + 1) // 2, (best + above) // 2 if above else None) if m and m not in seen]
+        if not new:
+            break
+        for n in new:
+            at(n)
+    return max(seen, key=lambda n: (seen[n], -n))
+
+
+@dataclass
+class DichotomySelector(Operator):
+    """As many of the most important columns as score best on held-out rows, their number found by halving."""
+
+    needs_target = True
+    classify: bool = True
+    rounds: int = 10
+
+    def fit(self, df, names, y=None):
+        from ..session import cut
+        from .estimators import assembled, make
+        from .metrics import REGRESSION
+
+        found = importances(df, names, y, self.classify)
+        order = sorted(names, key=lambda c: (-found[c], names.index(c)))
+        rows = cut(df.select(*names, y).withColumn("__held", F.pmod(F.xxhash64(*names, y), F.lit(3)) == 0))
+
+        def score(n: int) -> float:
+            part = assembled(rows, order[:n], y)
+            model = make("decision_tree", self.classify).fit(part.where(~F.col("__held")))
+            told = model.transform(part.where("__held"))
+            value = F.avg((F.col("prediction") == F.col("label")).cast("double")) if self.classify else REGRESSION["r2"].value(F.col("label"), F.col("prediction"))
+            return told.agg(value).first()[0] or 0.0
+
+        k = best_count(score, len(names), self.rounds)
+        return Fitted({}, [c for c in names if c not in order[:k]], {"kept": order[:k]})

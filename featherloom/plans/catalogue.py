@@ -35,11 +35,13 @@ def query(name: str, sql: str | None = None):
 
 
 def queries() -> dict:
+    from . import catalogue_more  # noqa: F401  it registers its queries here
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return {name: SQL[name] for name in queries() if name in SQL}
 
 
 def _rounded(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -494,7 +496,12 @@ def v03_spearman(spark, d):
     return metrics.spearman(table(spark, d, "events"), ["event_type"], "value", "user_id")
 
 
-@query("v04_kendall")
+@query(
+    "v04_kendall",
+    "WITH c AS (SELECT l_quantity AS a, l_tax AS b, count(*)::DOUBLE AS n FROM lineitem GROUP BY 1, 2), s AS (SELECT sum(x.n * y.n * sign(y.b - x.b)) AS s FROM c x JOIN c y ON x.a < y.a), t AS (SELECT sum(n) AS n FROM c), "
+    "p AS (SELECT sum(n * (n - 1) / 2) AS k FROM (SELECT sum(n) AS n FROM c GROUP BY a)), q AS (SELECT sum(n * (n - 1) / 2) AS k FROM (SELECT sum(n) AS n FROM c GROUP BY b)) "
+    "SELECT round(s / sqrt((n * (n - 1) / 2 - p.k) * (n * (n - 1) / 2 - q.k)), 6) AS kendall FROM s, t, p, q",
+)
 def v04_kendall(spark, d):
     return metrics.kendall(table(spark, d, "lineitem"), "l_quantity", "l_tax")
 

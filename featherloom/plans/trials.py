@@ -31,6 +31,23 @@ def retained(log: DataFrame, n: int, by: list[str] | None = None) -> DataFrame:
     return running(log, by or ["budget"], ["loss", "seq"], {"__k": ("count", F.lit(1))}).where(F.col("__k") <= n).drop("__k")
 
 
+def next_id(log: DataFrame, key: str = "seq") -> DataFrame:
+    """(next_id): one above the largest, 1 for an empty log."""
+    return log.agg((F.coalesce(F.max(key), F.lit(0)) + 1).alias("next_id"))
+
+
+def scan(log: DataFrame, where: dict | None = None, since: float | None = None, order: str = "seq") -> DataFrame:
+    """The runs of some values (a list means any of them) that started at or after a time, in order."""
+    for c, v in (where or {}).items():
+        log = log.where(F.col(c).isin(list(v)) if isinstance(v, (list, tuple, set)) else F.col(c).eqNullSafe(F.lit(v)))
+    return (log if since is None else log.where(F.col("started") >= since)).orderBy(order)
+
+
+def field_equals(c: str, path: str, value: str):
+    """Predicate: a field of a JSON column, by path, has this text."""
+    return F.get_json_object(c, path) == F.lit(value)
+
+
 def running_best(log: DataFrame) -> DataFrame:
     """Each run with the least loss of its budget so far, and how many had finished."""
     return running(log, ["budget"], ["finished", "seq"], {"best": ("min", F.col("loss")), "n_finished": ("count", F.lit(1))})

@@ -42,6 +42,8 @@ REGISTRY: dict[str, Callable[..., Operator]] = {
     "select.rfe": select.RecursiveSelector,
     "select.adaptive": select.AdaptiveSelector,
     "select.boruta": select.BorutaSelector,
+    "select.noise": select.NoiseFilter,
+    "select.dichotomy": select.DichotomySelector,
     "generate.autofeat": expand.SymbolicFeatures,
     "expand.polynomial": expand.Polynomial,
     "expand.kitchen_sinks": expand.KitchenSinks,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,14 +37,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and cut its lineage: loops grow plans otherwise.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of checkpoints, which driver and executors share.
 
-    Checkpoints go to the shared folder that the cluster names in spark.checkpoint.dir; a
-    temporary one is used only where none is named, as in tests on one machine.
+    A cluster names it in spark.checkpoint.dir; a temporary one is used only on one
+    machine, as in tests. A cluster that names none is an error.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="featherloom-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once, into the shared folder, and cut its lineage: loops grow plans otherwise."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
