@@ -626,7 +626,11 @@ def m09_knn_vote(spark, d):
     return estimators.knn_vote(rows, "vec_id", names, "label")
 
 
-@query("b10_tomek_links", f"WITH {NEAR}, o AS (SELECT * FROM q WHERE place = 1) SELECT o.k AS \"key\", o.nk AS near_key FROM o JOIN o b ON o.nk = b.k AND b.nk = o.k WHERE o.l <> o.nl")
+@query(
+    "b10_tomek_links",
+    "WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), o AS (SELECT a.vec_id AS k, min([list_distance(a.e, b.e), b.vec_id])[2]::BIGINT AS nk FROM v a JOIN v b ON a.vec_id <> b.vec_id GROUP BY a.vec_id) "
+    "SELECT o.k AS \"key\", o.nk AS near_key FROM o JOIN o b ON o.nk = b.k AND b.nk = o.k JOIN v x ON x.vec_id = o.k JOIN v y ON y.vec_id = o.nk WHERE x.label <> y.label",
+)
 def b10_tomek_links(spark, d):
     rows, names = _points(spark, d)
     return balance.tomek_links(rows, "vec_id", names, "label")
@@ -663,7 +667,12 @@ def m10_discriminant(spark, d):
     return estimators.Discriminant().fit(rows, PAIRED, "l_linestatus").transform(rows).select("l_orderkey", "l_linenumber", "l_linestatus", "prediction")
 
 
-@query("q03_ridge", None)
+@query(
+    "q03_ridge",
+    "WITH s AS (SELECT count(*) * var_pop(l_quantity) + 1 AS a, count(*) * covar_pop(l_quantity, l_discount) AS b, count(*) * var_pop(l_discount) + 1 AS c, count(*) * covar_pop(l_quantity, l_extendedprice) AS x, count(*) * covar_pop(l_discount, l_extendedprice) AS y, "
+    "avg(l_quantity) AS mq, avg(l_discount) AS md, avg(l_extendedprice) AS mp FROM lineitem), w AS (SELECT (c * x - b * y) / (a * c - b * b) AS u, (a * y - b * x) / (a * c - b * b) AS v, mq, md, mp FROM s) "
+    "SELECT l_orderkey, l_linenumber, round(mp + (l_quantity - mq) * u + (l_discount - md) * v, 4) AS prediction FROM lineitem, w",
+)
 def q03_ridge(spark, d):
     rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *PAIRED)
     done = estimators.RidgeFamily("ridge", 1.0).fit(rows, ["l_quantity", "l_discount"], "l_extendedprice").transform(rows)
