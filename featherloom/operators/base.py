@@ -7,6 +7,7 @@ taken from training rows; others see all roles if ``stacked`` is set.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -27,8 +28,12 @@ class Fitted:
     old: list[str]
     state: dict[str, Any] = field(default_factory=dict)
     group: str | None = None
+    #: What a table passes first, if columns that are made need more than a projection; it adds columns that ``old`` names.
+    through: Callable[[DataFrame], DataFrame] | None = None
 
     def apply(self, frame: FeatureFrame) -> FeatureFrame:
+        if self.through:
+            frame = FeatureFrame(self.through(frame.df), frame.groups)
         return frame.replace(self.old, self.made, self.group)
 
 

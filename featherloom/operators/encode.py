@@ -157,6 +157,10 @@ class CombineRare(Operator):
         return Fitted(made, [c for c in names if not kept[c]], {"kept": kept})
 
 
+#: Pairs of levels of two columns that an embedding holds on the driver, at most.
+MOST_CELLS = 20_000_000
+
+
 @dataclass
 class EmbeddingEncoder(Operator):
     """Low-rank supervised coordinates of each level, in place of a trained network.
@@ -186,6 +190,8 @@ class EmbeddingEncoder(Operator):
             for other in names:
                 if other != c:
                     far = {r["v"]: k for k, r in enumerate(levels[other])}
+                    if len(own) * len(far) > MOST_CELLS:
+                        raise ValueError(f"{c} and {other} have more than {MOST_CELLS} pairs of levels: combine rare ones first")
                     share = np.zeros((len(own), len(far)))
                     pairs = df.groupBy(F.col(f"`{c}`").cast("string").alias("a"), F.col(f"`{other}`").cast("string").alias("b")).count().where("a is not null and b is not null")
                     for a, b, k in pairs.collect():

@@ -301,3 +301,60 @@ class Agglomerate(Operator):
             groups[a] += groups.pop(b)
         how = {"mean": lambda cs: sum(cs[1:], cs[0]) / len(cs), "max": lambda cs: F.greatest(*cs) if len(cs) > 1 else cs[0], "median": lambda cs: F.element_at(F.array_sort(F.array(*cs)), (len(cs) + 1) // 2)}[self.pool]
         return Fitted({f"cluster_{k}": how([_x(names[i]) for i in g]) for k, g in enumerate(groups)}, names, {"clusters": [[names[i] for i in g] for g in groups]}, "num")
+
+
+@dataclass
+class KernelPca(Operator):
+    """Principal components of a Gaussian kernel's landmark features: a declared approximation of kernel PCA."""
+
+    components: int = 5
+    width: int = 50
+    gamma: float = 1.0
+    prefix: str = "kpca"
+
+    def fit(self, df, names, y=None):
+        landmarks = Nystroem(self.width, self.gamma).fit(df, names)
+        temporary = {f"__land_{i}": x for i, x in enumerate(landmarks.made.values())}
+        through = lambda d: d.withColumns(temporary)
+        own = list(temporary)
+        mean, cov, n = covariance(through(df).select(*own), own)
+        values, vectors = np.linalg.eigh(cov)
+        top = np.argsort(-values)[: min(self.components, len(own))]
+        vectors = _signed(vectors[:, top])
+        made = {f"{self.prefix}_{k}": _linear(own, vectors[:, k], -float(mean @ vectors[:, k])) for k in range(vectors.shape[1])}
+        return Fitted(made, [*names, *own], {"variance": values[top]}, "num", through)
+
+
+@dataclass
+class AdaptiveReducer(Operator):
+    """PCA, truncated SVD or ICA to as many components as score best on held-out rows, their number found by halving."""
+
+    needs_target = True
+    kind: str = "pca"
+    classify: bool = True
+    rounds: int = 4
+
+    def fit(self, df, names, y=None):
+        from ..session import cut
+        from .estimators import assembled, make
+        from .frame import FeatureFrame
+        from .metrics import REGRESSION
+        from .select import best_count
+
+        rows = cut(df.select(*names, y).withColumn("__held", F.pmod(F.xxhash64(*names, y), F.lit(3)) == 0))
+
+        def reducer(n: int):
+            share = n / len(names)
+            return FastIca(share) if self.kind == "ica" else Pca(share, self.kind == "pca", self.kind)
+
+        def score(n: int) -> float:
+            fitted = reducer(n).fit(rows.where(~F.col("__held")), names)
+            part = assembled(fitted.apply(FeatureFrame(rows, dict.fromkeys(names, "num"))).df, list(fitted.made), y)
+            told = make("decision_tree", self.classify).fit(part.where(~F.col("__held"))).transform(part.where("__held"))
+            value = F.avg((F.col("prediction") == F.col("label")).cast("double")) if self.classify else REGRESSION["r2"].value(F.col("label"), F.col("prediction"))
+            return told.agg(value).first()[0] or 0.0
+
+        n = best_count(score, len(names), self.rounds)
+        fitted = reducer(n).fit(df, names)
+        fitted.state = {"components": n}
+        return fitted

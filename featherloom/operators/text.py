@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import clean_text, tokens
 from ..session import cut
+from .base import Fitted, Operator
 
 
 def tokenise(df: DataFrame, c: str, made: str | None = None) -> DataFrame:
@@ -65,50 +68,141 @@ def _expand(df: DataFrame, source: str, c: str, k: int) -> DataFrame:
     return df.withColumns({f"{c}_{i}": a[i] for i in range(k)}).drop(source, "__v")
 
 
-def lda_topics(df: DataFrame, c: str, topics: int = 10, rounds: int = 20, vocabulary: int = 1 << 15, least: float = 0.0, seed: int = 1) -> DataFrame:
+def lda_model(df: DataFrame, c: str, topics: int = 10, rounds: int = 20, vocabulary: int = 1 << 18, least: float = 0.0, seed: int = 1):
+    """A function that adds the topic mixture of each row as ``c_0`` onwards; see ``lda_topics``."""
+    from pyspark.ml.clustering import LDA
+
+    rows, counter = _vectors(df, c, vocabulary)
+    model = LDA(k=topics, maxIter=rounds, featuresCol="__v", topicDistributionCol="__t", seed=seed).fit(rows)
+
+    def add(d: DataFrame) -> DataFrame:
+        done = _expand(model.transform(counter.transform(d)), "__t", c, topics)
+        if least > 0:
+            total = sum((F.when(F.col(f"{c}_{i}") >= least, F.col(f"{c}_{i}")).otherwise(0.0) for i in range(topics)), F.lit(0.0))
+            done = done.withColumn("__all", total)
+            done = done.withColumns({f"{c}_{i}": F.when(F.col(f"{c}_{i}") >= least, F.col(f"{c}_{i}") / F.col("__all")).otherwise(0.0) for i in range(topics)}).drop("__all")
+        return done
+
+    return add
+
+
+def lda_topics(df: DataFrame, c: str, topics: int = 10, rounds: int = 20, vocabulary: int = 1 << 18, least: float = 0.0, seed: int = 1) -> DataFrame:
     """The topic mixture of each row as ``c_0`` onwards.
 
     With ``least`` above 0, shares below it are set to zero and the rest scaled: many
     topics pruned in this way stand in for a model that finds their number itself.
     """
-    from pyspark.ml.clustering import LDA
-
-    rows, _ = _vectors(df, c, vocabulary)
-    model = LDA(k=topics, maxIter=rounds, featuresCol="__v", topicDistributionCol="__t", seed=seed).fit(rows)
-    done = _expand(model.transform(rows), "__t", c, topics)
-    if least > 0:
-        total = sum((F.when(F.col(f"{c}_{i}") >= least, F.col(f"{c}_{i}")).otherwise(0.0) for i in range(topics)), F.lit(0.0))
-        done = done.withColumn("__all", total)
-        done = done.withColumns({f"{c}_{i}": F.when(F.col(f"{c}_{i}") >= least, F.col(f"{c}_{i}") / F.col("__all")).otherwise(0.0) for i in range(topics)}).drop("__all")
-    return done
+    return lda_model(df, c, topics, rounds, vocabulary, least, seed)(df)
 
 
-def svd_topics(df: DataFrame, c: str, topics: int = 10, vocabulary: int = 1 << 12) -> DataFrame:
-    """Coordinates of each row along the leading right singular vectors of its token weights."""
+def svd_model(df: DataFrame, c: str, topics: int = 10, vocabulary: int = 1 << 12, weighted: bool = True):
+    """A function that adds the coordinates of each row along the leading right singular vectors of its token weights (or counts)."""
     import numpy as np
     from pyspark.ml.feature import IDF
     from pyspark.ml.functions import vector_to_array
     from pyspark.mllib.linalg import Vectors
     from pyspark.mllib.linalg.distributed import RowMatrix
 
-    rows, _ = _vectors(df, c, vocabulary)
-    rows = IDF(inputCol="__v", outputCol="__w").fit(rows).transform(rows)
-    matrix = RowMatrix(rows.select(vector_to_array("__w").alias("w")).rdd.map(lambda r: Vectors.dense(r["w"])))
+    rows, counter = _vectors(df, c, vocabulary)
+    idf = IDF(inputCol="__v", outputCol="__w").fit(rows) if weighted else None
+    weigh = lambda d: idf.transform(d) if weighted else d.withColumn("__w", F.col("__v"))
+    # the vectors stay sparse on their way into the matrix
+    matrix = RowMatrix(weigh(rows).select("__w").rdd.map(lambda r: Vectors.fromML(r["__w"])))
     v = matrix.computeSVD(topics).V.toArray()
     v = v * np.where(v[np.abs(v).argmax(0), range(v.shape[1])] < 0, -1, 1)
-    w = vector_to_array("__w")
-    made = {f"{c}_{i}": F.aggregate(F.zip_with(w, F.array(*map(F.lit, v[:, i].tolist())), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x) for i in range(v.shape[1])}
-    return rows.withColumns(made).drop("__v", "__w")
+
+    def add(d: DataFrame) -> DataFrame:
+        w = vector_to_array("__w")
+        made = {f"{c}_{i}": F.aggregate(F.zip_with(w, F.array(*map(F.lit, v[:, i].tolist())), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x) for i in range(v.shape[1])}
+        return weigh(counter.transform(d)).withColumns(made).drop("__v", "__w")
+
+    add.width = v.shape[1]
+    return add
+
+
+def svd_topics(df: DataFrame, c: str, topics: int = 10, vocabulary: int = 1 << 12) -> DataFrame:
+    """Coordinates of each row along the leading right singular vectors of its token weights; the most frequent tokens count."""
+    return svd_model(df, c, topics, vocabulary)(df)
+
+
+@dataclass
+class Topics(Operator):
+    """Topics of text columns as number columns, in place of the text.
+
+    ``kind`` is lsi (weighted) or tsvd (counts), lda, hdp (LDA of many topics, small shares
+    pruned: a declared substitute), nmf (the topics' token weights are fitted, and a row's
+    own are its tokens' mean: a declared substitute) or random_projection.
+    """
+
+    kind: str = "lsi"
+    topics: int = 10
+
+    def fit(self, df, names, y=None):
+        adds, made = [], {}
+        for c in names:
+            words = f"__words_{c}"
+            rows = tokenise(df, c, words)
+            width = self.topics
+            if self.kind in ("lsi", "tsvd"):
+                add = svd_model(rows, words, self.topics, weighted=self.kind == "lsi")
+                width = add.width
+            elif self.kind in ("lda", "hdp"):
+                add = lda_model(rows, words, self.topics, least=0.05 if self.kind == "hdp" else 0.0)
+            elif self.kind == "nmf":
+                add = nmf_model(rows, words, self.topics)
+            else:
+                add = lambda d, words=words: random_projection(d, words, self.topics)
+            adds.append(lambda d, c=c, words=words, add=add: add(tokenise(d, c, words)))
+            made |= {f"{c}_{i}": F.col(f"`{words}_{i}`") for i in range(width)}
+
+        def through(d: DataFrame) -> DataFrame:
+            for add in adds:
+                d = add(d)
+            return d
+
+        temporary = [f"__words_{c}" for c in names] + [f"__words_{m}" for m in made]
+        return Fitted(made, [*names, *temporary], {"kind": self.kind}, "num", through)
+
+
+def _numbered(df: DataFrame, c: str, made: str) -> DataFrame:
+    """(c, made): the distinct values of a column with numbers from 0, as whole numbers of 32 bits."""
+    from .order import running
+
+    values = df.select(c).where(F.col(c).isNotNull()).distinct()
+    return running(values, [], [c], {made: ("count", F.lit(1))}, exclusive=True).withColumn(made, F.col(made).cast("int"))
 
 
 def nmf_topics(df: DataFrame, key: str, c: str, topics: int = 10, rounds: int = 10, seed: int = 1) -> DataFrame:
-    """Non-negative factors of each row's token counts, by alternating least squares: ``c_0`` onwards. ``key`` is an integer."""
+    """Non-negative factors of each row's token counts, by alternating least squares: ``c_0`` onwards. ``key`` names each row, of any type."""
+    from pyspark.ml.recommendation import ALS
+
+    long = df.select(F.col(key).alias("__key"), F.explode(c).alias("__token"))
+    users, items = cut(_numbered(long, "__key", "u")), cut(_numbered(long, "__token", "i"))
+    counts = long.groupBy("__key", "__token").agg(F.count(F.lit(1)).cast("float").alias("r")).join(users, "__key").join(items, "__token").select("u", "i", "r")
+    model = ALS(rank=topics, maxIter=rounds, nonnegative=True, userCol="u", itemCol="i", ratingCol="r", seed=seed).fit(counts)
+    factors = model.userFactors.select(F.col("id").alias("u"), *(F.col("features")[i].cast("double").alias(f"{c}_{i}") for i in range(topics))).join(users, "u").drop("u")
+    return df.join(factors, F.col(key) == F.col("__key"), "left").drop("__key").fillna(0.0, [f"{c}_{i}" for i in range(topics)])
+
+
+def nmf_model(df: DataFrame, c: str, topics: int = 10, rounds: int = 10, seed: int = 1):
+    """A function that adds the mean of a row's tokens' non-negative factors as ``c_0`` onwards; tokens unknown then count as zero."""
     from pyspark.ml.recommendation import ALS
 
-    counts = df.select(F.col(key).cast("int").alias("u"), F.explode(c).alias("token")).groupBy("u", F.pmod(F.xxhash64("token"), F.lit(1 << 20)).cast("int").alias("i")).agg(F.count(F.lit(1)).cast("float").alias("r"))
+    rows = cut(df.select(F.xxhash64(c).alias("__key"), F.col(c).alias("__words")))
+    long = rows.select("__key", F.explode("__words").alias("__token"))
+    users, items = cut(_numbered(long, "__key", "u")), cut(_numbered(long, "__token", "i"))
+    counts = long.groupBy("__key", "__token").agg(F.count(F.lit(1)).cast("float").alias("r")).join(users, "__key").join(items, "__token").select("u", "i", "r")
     model = ALS(rank=topics, maxIter=rounds, nonnegative=True, userCol="u", itemCol="i", ratingCol="r", seed=seed).fit(counts)
-    factors = model.userFactors.select(F.col("id").alias("__u"), *(F.col("features")[i].cast("double").alias(f"{c}_{i}") for i in range(topics)))
-    return df.join(factors, F.col(key) == F.col("__u"), "left").drop("__u").fillna(0.0, [f"{c}_{i}" for i in range(topics)])
+    factors = cut(model.itemFactors.withColumnRenamed("id", "i").join(items, "i").select("__token", F.col("features").cast("array<double>").alias("__f")))
+
+    def add(d: DataFrame) -> DataFrame:
+        # written with the rows, so that both sides of the join see the same numbers
+        numbered = cut(d.withColumn("__n", F.monotonically_increasing_id()))
+        found = numbered.select("__n", F.explode(c).alias("__token")).join(factors, "__token", "left")
+        means = found.groupBy("__n").agg(*(F.avg(F.coalesce(F.col("__f")[i], F.lit(0.0))).alias(f"{c}_{i}") for i in range(topics)))
+        return numbered.join(means, "__n", "left").drop("__n").fillna(0.0, [f"{c}_{i}" for i in range(topics)])
+
+    return add
 
 
 def random_projection(df: DataFrame, c: str, width: int = 16, seed: int = 1) -> DataFrame:

@@ -9,7 +9,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame
 
-from ..operators import compress, encode, expand, impute, scale, select
+from ..operators import compress, encode, expand, impute, scale, select, text
 from ..operators.base import Fitted, Operator
 from ..operators.frame import FeatureFrame
 
@@ -52,6 +52,14 @@ REGISTRY: dict[str, Callable[..., Operator]] = {
     "reduce.truncated_svd": lambda **k: expand.Pca(centre=False, prefix="svd", **k),
     "reduce.fast_ica": expand.FastIca,
     "reduce.random_trees": expand.RandomTrees,
+    "reduce.kernel_pca": expand.KernelPca,
+    "reduce.adaptive": expand.AdaptiveReducer,
+    "text.lsi": lambda **k: text.Topics("lsi", **k),
+    "text.tsvd": lambda **k: text.Topics("tsvd", **k),
+    "text.lda": lambda **k: text.Topics("lda", **k),
+    "text.hdp": lambda **k: text.Topics("hdp", **k),
+    "text.nmf": lambda **k: text.Topics("nmf", **k),
+    "text.random_projection": lambda **k: text.Topics("random_projection", **k),
     "reduce.agglomeration": expand.Agglomerate,
 }
 
@@ -113,6 +121,8 @@ class Workflow:
     @staticmethod
     def _apply(frame: FeatureFrame, columns: list[str], made: Fitted | None, step: Step) -> FeatureFrame:
         if made is not None:
+            if made.through:
+                frame = FeatureFrame(made.through(frame.df), frame.groups)
             group = step.out or made.group
             gone = made.old if made.made or made.old else []
             frame = frame.replace([c for c in gone if c not in made.made], made.made, group)
