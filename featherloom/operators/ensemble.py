@@ -29,3 +29,17 @@ def stack(predictions: DataFrame, models: list, key: str = "rid", y: str = "y",
     rows = VectorAssembler(inputCols=list(map(str, models)), outputCol="features", handleInvalid="skip").transform(wide).withColumn("label", F.col(y).cast("double"))
     kind = LogisticRegression if classify else LinearRegression
     return kind(fitIntercept=False, elasticNetParam=0.5, regParam=0.001).fit(rows), rows
+
+
+def stack_classes(predictions: DataFrame, models: list, classes: int, key: str = "rid", y: str = "y", p: str = "p", drop_last: bool = True):
+    """As ``stack`` for any number of classes: ``p`` holds each model's class probabilities as an array.
+
+    The last probability of each model, which the others imply, is left out.
+    """
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+
+    width = classes - 1 if drop_last and classes > 1 else classes
+    wide = predictions.groupBy(key, y).pivot("model", models).agg(F.first(F.slice(p, 1, width))).dropna()
+    rows = wide.withColumn("features", array_to_vector(F.concat(*(F.col(f"`{m}`") for m in models)))).withColumn("label", F.col(y).cast("double"))
+    return LogisticRegression(fitIntercept=False, elasticNetParam=0.5, regParam=0.001).fit(rows), rows

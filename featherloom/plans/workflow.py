@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import dataclasses
+import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..operators import compress, encode, expand, impute, scale, select, text
 from ..operators.base import Fitted, Operator
@@ -68,9 +70,48 @@ def register(name: str, make: Callable[..., Operator]) -> None:
     REGISTRY[name] = make
 
 
-def _resolve(value: Any, frame: FeatureFrame, group) -> Any:
-    """Parameters that depend on the table: a callable gets the number of the group's columns."""
-    return value(len(frame.columns(group))) if callable(value) else value
+#: Endings by which a parameter names what it is relative to.
+RELATIVE = ("lr_ratio", "sp1_ratio", "sp1_percent", "sp1_dev", "card_ratio")
+
+
+def relative(kind: str, value: float, rows: int, columns: int, parameters: dict[str, Any], levels: int | None = None) -> int:
+    """A whole number relative to the learning rate, the number of columns or that of a category's levels.
+
+    ``lr_ratio`` is a number of rounds at a learning rate of 1; ``sp1_ratio``, ``sp1_percent``
+    and ``sp1_dev`` are a share, a percentage and a fraction's divisor of the columns;
+    ``card_ratio`` is a share of the levels, two at least.
+    """
+    if kind == "lr_ratio":
+        return max(int(value / parameters["learning_rate"]), 10)
+    if kind == "sp1_ratio":
+        return max(1, min(rows, round(columns * value)))
+    if kind == "sp1_percent":
+        return max(1, int(columns * value / 100))
+    if kind == "sp1_dev":
+        return max(1, math.ceil(columns / (value or 1)))
+    if kind == "card_ratio":
+        return max(2, math.ceil((levels or 0) * value))
+    raise ValueError(f"unknown kind of relative parameter: {kind}")
+
+
+def _resolve(parameters: dict[str, Any], frame: FeatureFrame, group) -> dict[str, Any]:
+    """Parameters that depend on the table.
+
+    A callable gets the number of the group's columns; ``_name__kind`` is a parameter
+    ``name`` relative to what its ending says.
+    """
+    columns, out = frame.columns(group), {}
+    for name, value in parameters.items():
+        plain, found, kind = name[1:].rpartition("__")
+        if name.startswith("_") and found and kind in RELATIVE:
+            rows = frame.df.count() if kind == "sp1_ratio" else 0
+            levels = None
+            if kind == "card_ratio" and columns:
+                levels = max(frame.df.agg(*(F.count_distinct(F.col(f"`{c}`")) for c in columns)).first())
+            out[plain] = relative(kind, value, rows, len(columns), parameters, levels)
+        else:
+            out[name] = value(len(columns)) if callable(value) else value
+    return out
 
 
 @dataclass
@@ -102,10 +143,11 @@ class Workflow:
                 elif name == "drop":
                     made = Fitted({}, columns)
                 else:
+                    given = _resolve(step.parameters, frame, group)
                     known = {f.name for f in dataclasses.fields(REGISTRY[name])} if dataclasses.is_dataclass(REGISTRY[name]) else None
-                    if known is not None and (odd := set(step.parameters) - known) and "|" not in step.operator:
+                    if known is not None and (odd := set(given) - known) and "|" not in step.operator:
                         raise TypeError(f"{name} has no parameter {sorted(odd)}")
-                    chosen = {k: _resolve(v, frame, group) for k, v in step.parameters.items() if known is None or k in known}
+                    chosen = {k: v for k, v in given.items() if known is None or k in known}
                     made = REGISTRY[name](**chosen).fit_frame(frame, group, y, self.stacked) if columns else None
                 done.append(made)
                 frame = self._apply(frame, columns, made, step)

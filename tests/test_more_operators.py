@@ -1,12 +1,16 @@
 """Neighbours without bounds, categories among nulls, topics and reducers in workflows."""
 
+import json
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from featherloom.operators import balance, expand, impute, text
+from featherloom.operators import balance, ensemble, estimators, expand, impute, metrics, text
 from featherloom.operators.frame import FeatureFrame
-from featherloom.plans.workflow import Step, Workflow
+from featherloom.plans import search, space
+from featherloom.plans.workflow import Step, Workflow, relative
+from featherloom.sources import tables
 
 
 def _classes(spark, n=90):
@@ -107,3 +111,64 @@ def test_kernel_pca_and_adaptive_reducer(spark):
     for kind in ("pca", "svd", "ica"):
         found = expand.AdaptiveReducer(kind=kind, rounds=1).fit(df, ["x", "z"], "c")
         assert 1 <= found.state["components"] <= 2 and len(found.made) == found.state["components"]
+
+
+SPACE = space.Space({"kind": space.Choice(("a", "b")), "x": space.Uniform(0.0, 1.0), "y": space.Uniform(0.01, 1.0, log=True)}, {"y": ("kind", ("b",))})
+
+
+@pytest.mark.parametrize("kind", [search.BudgetDensitySampler, search.SurrogateSampler, lambda s, **k: search.SurrogateSampler(s, log=True, **k), search.BudgetSurrogateSampler])
+def test_samplers_find_low_losses(kind):
+    loss = lambda c, b: (c["x"] - 0.7) ** 2 + (0.3 if c["kind"] == "a" else 0.0) + 0.01 / b
+    late = []
+    for seed in range(3):
+        sampler = kind(SPACE, seed=seed, least=4)
+        runs = search.hyperband(sampler, loss, 1, 9, brackets=12)
+        late.append(np.median([r.loss for r in runs if r.bracket >= 6 and r.stage == 0]))
+        assert min(r.loss for r in runs) < 0.02
+        found = search.importance(SPACE, runs)
+        assert set(found) == {"kind", "x", "y"} and all(0 <= v <= 1 + 1e-9 for v in found.values())
+    drawn = [loss(SPACE.sample(np.random.default_rng(i)), 1) for i in range(300)]
+    assert np.median(late) < 0.6 * np.median(drawn), (late, np.median(drawn))
+
+
+def test_runs_as_a_table(spark):
+    runs = [search.Run({"x": 0.5, "kind": "a"}, 1.0, 0.2, 0, 0), search.Run({"x": 0.1, "kind": "b", "error": "?"}, 1.0, 9.0, 0, 0)]
+    rows = search.as_table(spark, runs).orderBy("run").collect()
+    assert json.loads(rows[0].config) == {"x": 0.5, "kind": "a"} and rows[1].loss == 9.0
+    assert search.misordered([1, 2, 3], [1, 2, 3]) == 0 and search.misordered([1, 2], [2, 1]) == 2
+
+
+def test_relative_parameters(spark):
+    assert [relative("sp1_ratio", 0.5, 3, 10, {}), relative("sp1_percent", 25, 99, 10, {}), relative("sp1_dev", 3, 99, 10, {}), relative("lr_ratio", 20, 0, 0, {"learning_rate": 0.1}), relative("card_ratio", 0.5, 0, 0, {}, 9)] == [3, 2, 4, 200, 5]
+    frame = FeatureFrame(_classes(spark), {"x": "num", "z": "num"})
+    done = Workflow([Step("num", "reduce.kernel_pca", "num", {"_components__sp1_percent": 100, "width": 10})]).fit_transform(frame)
+    assert done.columns("num") == ["kpca_0", "kpca_1"]
+
+
+def test_regressors_and_stacks(spark):
+    pick = np.random.default_rng(3)
+    x = pick.normal(size=(200, 2))
+    df = spark.createDataFrame([(i, float(a), float(b), float(1000 + 50 * np.tanh(a) - 20 * b), int(a > 0) + int(b > 0)) for i, (a, b) in enumerate(x)], "rid long, a double, b double, t double, y int")
+    rows = estimators.assembled(df, ["a", "b"], "t")
+    for name in ("linear_svr", "sgd"):
+        done = estimators.fit_standardised(estimators.make(name, classify=False), rows)(rows)
+        assert metrics.evaluate(done, "label", "prediction", metrics.REGRESSION).first().r2 > 0.85
+    done = estimators.neural_regression(df, ["a", "b"], "t", hidden=8, rounds=40, rate=0.1)(df)
+    assert metrics.evaluate(done, "t", "prediction", metrics.REGRESSION).first().r2 > 0.95
+    told = df.select("rid", "y", F.explode(F.array(F.lit("m1"), F.lit("m2"))).alias("model"))
+    told = told.withColumn("p", F.transform(F.sequence(F.lit(0), F.lit(2)), lambda c: F.when(c == F.col("y"), 0.6).otherwise(0.2)))
+    model, stacked = ensemble.stack_classes(told, ["m1", "m2"], 3)
+    assert model.transform(stacked).where("prediction = y").count() > 150 and len(stacked.first().features) == 4
+
+
+def test_relational_tables(spark, tmp_path):
+    url, driver = f"jdbc:derby:{tmp_path}/db;create=true", "org.apache.derby.jdbc.EmbeddedDriver"
+    rows = spark.createDataFrame([(i, float("nan") if i % 3 == 0 else i / 2, f"w{i}") for i in range(40)], "id int, x double, w string")
+    try:
+        spark._jvm.java.lang.Class.forName(driver)
+    except Exception:
+        pytest.skip("no relational database among Spark's jars")
+    tables.write_jdbc(rows, url, "t", driver)
+    back = tables.read_jdbc(spark, url, "t", "id", 0, 40, 3)
+    found = {r[0]: r[1] for r in back.collect()}
+    assert back.rdd.getNumPartitions() == 3 and len(found) == 40 and found[3] is None and found[4] == 2.0
