@@ -263,8 +263,9 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     marked = cut(fingerprints(docs, id_col, text_col, width))
     distinct = cut(marked.groupBy("fp").agg(F.min("id").alias("least")))
     joined = connected_components(links(distinct.select("fp"), radius))
-    rooted = distinct.join(joined.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component"))
+    # written before they meet, so that Spark can split the join of a root that many fingerprints have
+    rooted = cut(distinct.join(joined.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    least = cut(rooted.groupBy("root").agg(F.min("least").alias("component")))
     named = rooted.join(least, "root").select("fp", "component")
     return marked.join(named, "fp").select("id", "fp", "component")
 
