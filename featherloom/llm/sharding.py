@@ -126,9 +126,10 @@ def assign_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     groups = cut(all_rows.groupBy("link").agg(F.count(F.lit(1)).alias("members")))
     linked_rows = groups.where("members > 1").agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0]
     lane, = own(groups, "lane")
-    grouped = ranked(groups.where("members > 1").withColumn(lane, F.lit(0)), [lane], [F.xxhash64("link"), F.col("link")], rows, "before", F.col("members")).select("link", "before")
+    # written first, so that Spark can split the join of a text that many documents have
+    grouped = cut(ranked(groups.where("members > 1").withColumn(lane, F.lit(0)), [lane], [F.xxhash64("link"), F.col("link")], rows, "before", F.col("members")).select("link", "before"))
     order = [F.xxhash64("id", "link"), F.col("id"), F.col("link")]
-    linked, single = all_rows.join(grouped, "link"), all_rows.join(groups.where("members = 1").select("link"), "link")
+    linked, single = all_rows.join(grouped, "link"), all_rows.join(cut(groups.where("members = 1").select("link")), "link")
     start = ranked(linked, ["link"], [*order, F.col("size")], rows, "nth").withColumn("nth", F.col("nth") + F.col("before"))
     start = cut(start.withColumn("shard", _filled(capacities(linked_rows, shards))).drop("nth", "before"))
     placed = propagate(start, rows, shards, rounds)
