@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small_batches
 from .components import connected_components
 
 WIDTH, SIMILARITY = 5, 0.8
@@ -428,3 +428,37 @@ def paragraph_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     copies = cut(named.groupBy("class").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("id", "start")).alias("stays")).where("copies > 1"))
     kept = F.struct("id", "start").eqNullSafe(F.col("stays"))
     return named.join(copies, "class").select("id", "place", "words", "class", "copies", kept.alias("kept"), "start", "stop", "kind")
+
+
+def _without(batches):
+    """Over (row, text, spans): the text less its spans, which may overlap."""
+    for batch in batches:
+        out = []
+        for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            if text is None or not spans:
+                out.append(text)
+                continue
+            raw, at, kept = text.encode(), 0, []
+            for s in sorted(spans, key=lambda s: s["start"]):
+                kept.append(raw[at : max(at, s["start"])])
+                at = max(at, s["stop"])
+            out.append(b"".join([*kept, raw[at:]]).decode())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["row", "text"])
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with every repeated paragraph taken out of the text, but for the one of its class that stays.
+
+    Columns stay as they are, in their order. Ids must tell texts apart: rows of an equal id
+    lose the spans of all of them. A text of repeats alone becomes white space or empty.
+    """
+    small_batches(docs.sparkSession)
+    gone = paragraph_classes(docs, id_col, text_col, **options).where("not kept")
+    spans = cut(gone.groupBy(F.col("id").alias("span_id")).agg(F.collect_set(F.struct("start", "stop")).alias("spans")))
+    names = {c: f"c{k}" for k, c in enumerate(docs.columns)}
+    moved = docs.toDF(*names.values())
+    joined = moved.join(spans, F.col(names[id_col]).eqNullSafe(F.col("span_id")), "left")
+    others = [n for c, n in names.items() if c != text_col]
+    packed = joined.select(F.struct(*others).alias("row"), F.col(names[text_col]).cast("string").alias("text"), "spans")
+    done = packed.mapInArrow(_without, f"row {packed.schema['row'].dataType.simpleString()}, text string")
+    return done.select(*(F.col("text").alias(c) if c == text_col else F.col(f"row.{n}").alias(c) for c, n in names.items()))

@@ -351,6 +351,19 @@ def test_paragraph_odd_cases(spark):
     assert paragraphs.paragraph_classes(docs.limit(0)).count() == 0
 
 
+def test_repeats_are_taken_out(spark):
+    words = " ".join(f"w{i}" for i in range(90))
+    docs = documents(spark, [(1, "intro\n" + words), (2, "é own start " + " ".join(f"x{i}" for i in range(60)) + " " + words + " own end"), (3, None), (4, "the end\n\nintro"), (None, "intro")]).withColumns({"span_id": F.lit(5), "spans": F.lit("x"), "c1": F.lit(1)})
+    out = paragraphs.without_repeats(docs)
+    done = {r.doc_id: r.text for r in out.collect()}
+    assert out.columns == docs.columns and done[3] is None and done[None] == "intro"
+    assert done[1] == "\n" + words and done[4] == "the end\n\n"
+    left = done[2].split()
+    # units cover the passage but for what lies before its first and after its last
+    assert left[:63] == ["é", "own", "start", *(f"x{i}" for i in range(60))] and left[-2:] == ["own", "end"] and len(left) < 65 + 60
+    assert paragraphs.without_repeats(docs.limit(0)).count() == 0
+
+
 def test_short_lines_are_paragraphs(spark, tmp_path):
     short = "one two three four five six"
     documents(spark, [(1, short + "\nonly here"), (2, "ok\n" + short), (3, "ok\nother words of this line")]).write.parquet(f"{tmp_path}/documents.parquet")
