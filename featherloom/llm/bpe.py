@@ -39,7 +39,7 @@ from .common import small_batches
 #: The largest vocabulary file that is broadcast.
 VOCAB_BYTES = 64 << 20
 #: Entries that a cache takes (words that come often come early), and the longest key that is kept.
-CACHE_WORDS, CACHE_LETTERS = 120_000, 64
+CACHE_WORDS, CACHE_LETTERS = 180_000, 64
 #: Parts up to this length are merged together, longer ones one by one by a heap; rows merged at once.
 SHORT, ROWS = 40, 20_000
 NONE = (1 << 31) - 1
